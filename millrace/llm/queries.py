@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .lines import op10_line_dedup
 from .packing import op2_packing
 from .quality import op1_quality_rules
+from .simhash import op8_simhash
 from .tokens import op7_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
