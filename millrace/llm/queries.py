@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontamination
 from .lines import op10_line_dedup
 from .packing import op2_packing
 from .quality import op1_quality_rules
@@ -11,6 +12,7 @@ from .tokens import op7_token_counts
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
