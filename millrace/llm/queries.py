@@ -8,6 +8,7 @@ from .packing import op2_packing
 from .quality import op1_quality_rules
 from .simhash import op8_simhash
 from .tokens import op7_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
