@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .licences import op6_licence_scan
 from .lines import op10_line_dedup
 from .packing import op2_packing
 from .quality import op1_quality_rules
 from .simhash import op8_simhash
 from .tokens import op7_token_counts
 from .toxicity import op9_toxicity
+from .urls import op4_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
+    "op6_licence_scan": op6_licence_scan,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
