@@ -110,8 +110,9 @@ def _short_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document overlaps no item; rows without a doc_id stay."""
-    bad = overlaps(docs, bench).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    bad = overlaps(docs, bench).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
+    return rows.join(bad, F.col("row.doc_id") == bad["doc_id"], "left_anti").select("row.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

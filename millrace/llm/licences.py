@@ -87,10 +87,11 @@ UNKNOWN = [
     "The conditions of the contract were met by both sides.",
     "Terms used in this chapter are explained in the glossary.",
     "The fishing license costs ten dollars and is valid for one season.",
+    "Das Haus mit dem Garten liegt mit der Bank am Weg, und mit ihm der Brunnen.",
     "Is the old version of the work still distributed in print?",
 ]
 CUES = r"(?i)licen[cs]e|copyright|warranty|permission|redistribut|public domain|spdx|creative commons|\bcc[ -]?(by|0)|rights reserved|\bgpl|(?-i:\bMIT\b)"
-MIN_PROBABILITY, MIN_SHARED = 0.5, 0.5
+MIN_PROBABILITY, MIN_SHARED = 0.5, 0.6
 _WORD = r"[^a-z0-9.+\-]+"
 UNKNOWN_CLASS = "unknown"
 

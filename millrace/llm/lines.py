@@ -290,21 +290,23 @@ def drop_repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     gone = (
         line_classes(docs, max_edits, min_chars)
         .where("not kept")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.collect_set("line_no").alias("__gone"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("line_no").alias("gone"))
     )
-    rows = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
+    rows = rows.join(gone, F.col("row.doc_id") == gone["doc_id"], "left").select("row", "gone")
+    lost, text = F.col("gone").isNotNull(), F.col("row.text")
     rest = F.array_join(
-        F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col("__gone"), k)), "\n"
+        F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains(F.col("gone"), k)), "\n"
     )
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn(
-            "n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
-        )
-    rows = rows.where(F.col("__gone").isNull() | F.col("text").rlike(NOT_SPACE))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.select("row", lost.alias("lost"), F.when(lost, rest).otherwise(text).alias("rest"))
+    rows = rows.where(~F.col("lost") | F.col("rest").rlike(NOT_SPACE))
+    kinds = dict(docs.dtypes)
+    changed = {"text": F.col("rest")}
+    if "n_chars" in kinds:
+        length = F.length("rest").cast(kinds["n_chars"])
+        changed["n_chars"] = F.when(F.col("lost"), length).otherwise(F.col("row.n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .extract import op3_html_extraction
 from .licences import op6_licence_scan
 from .lines import op10_line_dedup
 from .packing import op2_packing
@@ -15,6 +16,7 @@ from .urls import op4_url_filters
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
     "op6_licence_scan": op6_licence_scan,

@@ -188,9 +188,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     Rows without a doc_id stay, as nothing tells them apart.
     """
     marked = near_duplicates(docs, shingle, radius)
-    dropped = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti")
-    return left
+    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
+    return rows.join(gone, F.col("row.doc_id") == gone["doc_id"], "left_anti").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
