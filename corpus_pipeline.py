@@ -1,8 +1,67 @@
-"""Stages that turn ``documents`` into packed training sequences."""
+"""From ``documents`` to packed training sequences in five stages.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm.common import Scratch, read
+from millrace.llm.decontaminate import drop_contaminated
+from millrace.llm.lines import drop_repeated
+from millrace.llm.packing import pack
+from millrace.llm.quality import keep_good
+from millrace.llm.simhash import keep_one
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the cascade keeps."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that stand, equal or within two edits, earlier in the corpus."""
+    return drop_repeated(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each near-duplicate group.
+
+    Shingles of five words, as for every stage on word shingles that no contract fixes.
+    """
+    return keep_one(docs, shingle=5)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, each with its sequence, offset and ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+
+#: SQL expresses neither SimHash components nor the tokenizer; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
+    return docs
