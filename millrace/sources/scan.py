@@ -1,0 +1,361 @@
+"""Landing files as received: batch discovery, scans into text columns with provenance, gates, and the ledger."""
+
+from __future__ import annotations
+
+import csv
+import datetime as dt
+import glob
+import hashlib
+import json
+import os
+import re
+import time
+import urllib.request
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.casts import parse_time
+from ..functions.types import spark_type, widens
+
+PROVENANCE = ["_src", "_batch_id", "_batch_version", "_source_file", "_row_number", "_ingested_at"]
+_BATCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.\-]{0,63}")
+CORRUPT = "_corrupt_record"
+
+
+class Rejected(Exception):
+    """A file that may not land; ``reason`` is one of a fixed list of words."""
+
+    def __init__(self, reason: str, detail: str = ""):
+        super().__init__(f"{reason}: {detail}" if detail else reason)
+        self.reason, self.detail = reason, detail
+
+
+@dataclass(frozen=True)
+class Source:
+    """A declared feed.  ``columns`` maps a name to its declared type, in file order."""
+
+    name: str
+    location: str
+    columns: dict[str, str] = field(hash=False)
+    format: str = "csv"
+    required: tuple[str, ...] = ()
+    delimiter: str = ","
+    quote: str = '"'
+    escape: str = '"'
+    header: bool = True
+    encoding: str = "utf-8"
+    null_tokens: tuple[str, ...] = ()
+    additive: str = "land"
+    min_rows: int | None = None
+    max_rows: int | None = None
+    batch_format: str | None = None
+    max_age_days: int | None = None
+    freshness_column: str | None = None
+    freshness_formats: tuple[str, ...] = ()
+    redelivery: str = "replace"
+    sheet: str | int = 0
+
+
+# ---- discovery and fetching ---------------------------------------------------------------------------------------
+
+
+def batch_order(batch: str, fmt: str | None = None):
+    """Batches are ordered by the date they encode, else by their text."""
+    if fmt:
+        try:
+            return (0, dt.datetime.strptime(batch, fmt).isoformat(), batch)
+        except ValueError:
+            pass
+    return (1, batch, batch)
+
+
+def discover(source: Source) -> list[tuple[str, str]]:
+    """(batch id, path) of every file of the feed, in batch order."""
+    if "{batch}" not in source.location:
+        if not os.path.exists(source.location):
+            raise Rejected("file_not_found", source.location)
+        return [("full", source.location)]
+    before, after = source.location.split("{batch}", 1)
+    pattern = re.compile(re.escape(before) + r"(?P<batch>.+?)" + re.escape(after).replace(re.escape("{batch}"), "(?P=batch)") + r"\Z")
+    found = []
+    for path in glob.glob(glob.escape(before) + "*" + glob.escape(after).replace(glob.escape("{batch}"), "*")):
+        m = pattern.match(path)
+        if m:
+            if not _BATCH.fullmatch(m["batch"]):
+                raise Rejected("bad_batch_id", m["batch"])
+            found.append((m["batch"], path))
+    return sorted(found, key=lambda x: batch_order(x[0], source.batch_format))
+
+
+def fetch(url: str, to: str, token: str | None = None, tries: int = 3, base: float = 0.5, opener=urllib.request.urlopen) -> str:
+    """Downloads to a file that appears only when it is whole; waits base, 2*base, 4*base ... between tries."""
+    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+    for k in range(tries):
+        try:
+            with opener(request) as r, open(f"{to}.part", "wb") as f:
+                while block := r.read(1 << 20):
+                    f.write(block)
+            os.replace(f"{to}.part", to)
+            return to
+        except OSError as e:
+            if k + 1 == tries:
+                raise Rejected("unreachable", f"{url}: {e}") from None
+            time.sleep(base * 2**k)
+    raise Rejected("unreachable", url)
+
+
+def md5_of(path: str) -> str:
+    h = hashlib.md5()
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            h.update(block)
+    return h.hexdigest()
+
+
+# ---- scans --------------------------------------------------------------------------------------------------------
+
+
+def read_text(spark: SparkSession, source: Source, path: str) -> DataFrame:
+    """A CSV file as text columns plus the corrupt-record column (NULL where the record fits the dialect).
+
+    Read as a single multi-line file, so that quoted newlines hold and rows keep their order.
+    """
+    schema = ", ".join(f"`{c}` string" for c in source.columns) + f", `{CORRUPT}` string"
+    df = spark.read.schema(schema).csv(
+        path,
+        sep=source.delimiter,
+        quote=source.quote,
+        escape=source.escape,
+        header=source.header,
+        encoding=source.encoding,
+        multiLine=True,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=CORRUPT,
+        enforceSchema=True,
+    )
+    empty = ["", *source.null_tokens]
+    return df.select(*[F.when(~F.col(c).isin(*empty), F.col(c)).alias(c) for c in source.columns], CORRUPT)
+
+
+def read_json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.option("primitivesAsString", True).option("multiLine", not lines).json(path)
+
+
+def read_excel(spark: SparkSession, source: Source, path: str) -> DataFrame:
+    import pandas as pd
+
+    try:
+        frame = pd.read_excel(path, sheet_name=source.sheet, dtype=str)
+    except ImportError as e:
+        raise Rejected("unsupported_format", f"xlsx needs openpyxl ({e})") from None
+    frame.columns = [str(c).strip() for c in frame.columns]
+    schema = ", ".join(f"`{c}` string" for c in frame.columns)
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), schema)
+
+
+def header_of(source: Source, path: str) -> list[str]:
+    with open(path, encoding=source.encoding.replace("utf-8", "utf-8-sig"), newline="") as f:
+        first = next(csv.reader(f, delimiter=source.delimiter, quotechar=source.quote), [])
+    return [c.strip() for c in first]
+
+
+def count_records(source: Source, path: str) -> int:
+    """Records of a CSV file as a second reader counts them, streamed; blank lines are no records."""
+    double = source.escape == source.quote
+    with open(path, encoding=source.encoding.replace("utf-8", "utf-8-sig"), newline="") as f:
+        reader = csv.reader(
+            f, delimiter=source.delimiter, quotechar=source.quote, doublequote=double, escapechar=None if double else source.escape
+        )
+        n = sum(1 for row in reader if row)
+    return n - bool(source.header and n)
+
+
+def number_rows(df: DataFrame) -> DataFrame:
+    """Rows of one file numbered from 1 in their order; refuses more than one partition."""
+    if df.rdd.getNumPartitions() > 1:
+        raise ValueError("rows of several partitions have no common order")
+    return df.withColumn("_row_number", F.monotonically_increasing_id() + 1)
+
+
+def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows with their place in the file, whatever tasks read them."""
+    return spark.read.parquet(path).select("*", (F.col("_metadata.row_index") + 1).alias("_row_number"))
+
+
+def provenance(df: DataFrame, source: Source, batch: str, version: int, path: str, now: str) -> DataFrame:
+    return df.withColumns(
+        {
+            "_src": F.lit(source.name),
+            "_batch_id": F.lit(batch),
+            "_batch_version": F.lit(version),
+            "_source_file": F.lit(os.path.basename(path)),
+            "_ingested_at": F.lit(now).cast("timestamp_ntz"),
+        }
+    )
+
+
+# ---- gates --------------------------------------------------------------------------------------------------------
+
+
+def gate_columns(source: Source, found: list[str]) -> list[str]:
+    """Additional columns of a file; raises Rejected for missing ones, and for additional ones if they are refused."""
+    missing = [c for c in (source.required or tuple(source.columns)) if c not in found]
+    if missing:
+        raise Rejected("missing_required_columns", ", ".join(missing))
+    more = [c for c in found if c not in source.columns]
+    if more and source.additive == "reject":
+        raise Rejected("unexpected_columns", ", ".join(more))
+    return more
+
+
+def gate_types(source: Source, found: dict[str, str], first: dict[str, str] | None = None) -> None:
+    """Types of a typed file against the declared ones and those of the first batch."""
+    for c, now in found.items():
+        if c in source.columns and not widens(now, spark_type(source.columns[c])):
+            raise Rejected("type_change", f"{c}: {now} is not {source.columns[c]}")
+        if first and c in first and not (widens(first[c], now) or widens(now, first[c])):
+            raise Rejected("type_change", f"{c}: {now} was {first[c]}")
+
+
+def gate_volume(source: Source, n: int) -> None:
+    if n == 0:
+        raise Rejected("zero_rows")
+    if (source.min_rows is not None and n < source.min_rows) or (source.max_rows is not None and n > source.max_rows):
+        raise Rejected("volume_out_of_bounds", str(n))
+
+
+def gate_freshness(source: Source, batch: str, df: DataFrame, today: dt.date) -> None:
+    """By the date in the batch id, or by the newest value of a column."""
+    if source.max_age_days is None:
+        return
+    oldest = today - dt.timedelta(days=source.max_age_days)
+    if source.freshness_column:
+        c = F.col(source.freshness_column)
+        day = parse_time(c, list(source.freshness_formats)) if source.freshness_formats else c
+        newest = df.agg(F.max(day.cast("date")).alias("d")).first().d
+        if newest is None:
+            raise Rejected("freshness_unknown", source.freshness_column)
+    else:
+        try:
+            newest = dt.datetime.strptime(batch, source.batch_format or "%Y-%m-%d").date()
+        except ValueError:
+            raise Rejected("bad_batch_token", batch) from None
+    if newest < oldest:
+        raise Rejected("stale_batch", f"{newest} is before {oldest}")
+
+
+# ---- landing ------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Landed:
+    rows: DataFrame
+    rejects: DataFrame | None
+    n_rows: int
+    n_rejects: int
+    extra_columns: list[str]
+
+
+def land(spark: SparkSession, source: Source, batch: str, version: int, path: str, today: dt.date | None = None, now: str | None = None) -> Landed:
+    """One file through its gates; callers write ``rows`` and only then the ledger."""
+    today = today or dt.date.today()
+    now = now or dt.datetime.now().isoformat(sep=" ", timespec="seconds")
+    rejects, n_rejects = None, 0
+    if source.format == "csv":
+        more = gate_columns(source, header_of(source, path)) if source.header else []
+        if more:  # the file's own order, so that values meet their names
+            source = Source(**(source.__dict__ | {"columns": {c: source.columns.get(c, "VARCHAR") for c in header_of(source, path)}}))
+        parsed = read_text(spark, source, path).persist()
+        rejects = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
+        rows = number_rows(parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
+        n_rejects = rejects.count()
+    elif source.format in ("json", "jsonl"):
+        df = read_json(spark, path, source.format == "jsonl")
+        more = gate_columns(source, df.columns)
+        rows = number_rows(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).coalesce(1))
+    elif source.format == "parquet":
+        typed = spark.read.parquet(path)
+        more = gate_columns(source, typed.columns)
+        gate_types(source, dict(typed.dtypes))
+        rows = parquet_rows(spark, path)
+    elif source.format == "xlsx":
+        df = read_excel(spark, source, path)
+        more = gate_columns(source, df.columns)
+        rows = number_rows(df.coalesce(1))
+    else:
+        raise Rejected("unsupported_format", source.format)
+    n = rows.count()
+    gate_volume(source, n)
+    gate_freshness(source, batch, rows, today)
+    if source.format == "csv":
+        records = count_records(source, path)
+        if records != n + n_rejects:
+            raise Rejected("record_count_mismatch", f"{records} records, {n} landed, {n_rejects} rejected")
+    return Landed(provenance(rows, source, batch, version, path, now), rejects, n, n_rejects, more)
+
+
+class Ledger:
+    """What has landed: batch to (version, md5, rows); written only after the data."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.entries: dict[str, dict] = {}
+        if os.path.exists(path):
+            with open(path) as f:
+                self.entries = json.load(f)
+
+    def decide(self, source: Source, batch: str, md5: str) -> int | None:
+        """The version to land as; None for content that has landed already."""
+        known = self.entries.get(f"{source.name}/{batch}")
+        if known is None:
+            return 1
+        if known["md5"] == md5:
+            return None
+        if source.redelivery == "reject":
+            raise Rejected("redelivery_rejected", batch)
+        return known["version"] + 1
+
+    def record(self, source: Source, batch: str, version: int, md5: str, rows: int) -> None:
+        self.entries[f"{source.name}/{batch}"] = {"version": version, "md5": md5, "rows": rows}
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+        with open(f"{self.path}.part", "w") as f:
+            json.dump(self.entries, f, indent=1, sort_keys=True)
+        os.replace(f"{self.path}.part", self.path)
+
+
+def ingest(spark: SparkSession, source: Source, store: str, ledger: Ledger, today: dt.date | None = None) -> list[dict]:
+    """All new batches of a feed into ``store``/<source>; a rejected file is reported and the next one taken."""
+    report = []
+    for batch, path in discover(source):
+        try:
+            md5 = md5_of(path)
+            version = ledger.decide(source, batch, md5)
+            if version is None:
+                report.append({"batch": batch, "status": "skipped"})
+                continue
+            got = land(spark, source, batch, version, path, today)
+            got.rows.write.mode("overwrite").parquet(f"{store}/{source.name}/_batch_id={batch}/_batch_version={version}")
+            ledger.record(source, batch, version, md5, got.n_rows)
+            report.append({"batch": batch, "status": "landed", "version": version, "rows": got.n_rows, "rejects": got.n_rejects})
+        except Rejected as e:
+            report.append({"batch": batch, "status": "rejected", "reason": e.reason, "detail": e.detail})
+    return report
+
+
+def bronze(spark: SparkSession, store: str, source: Source) -> DataFrame:
+    """All landed batches of a feed, columns united by name."""
+    return spark.read.option("mergeSchema", True).parquet(f"{store}/{source.name}/*/*")
+
+
+def group_files(paths: list[str]) -> dict[str, list[str]]:
+    """Files that differ in digits only, as one feed with a {batch} token."""
+    found: dict[str, list[str]] = {}
+    for p in sorted(paths):
+        folder, name = os.path.split(p)
+        found.setdefault(os.path.join(folder, re.sub(r"\d+(?:[-_]\d+)*", "{batch}", name, count=1)), []).append(p)
+    return {k if len(v) > 1 else v[0]: v for k, v in found.items()}
+
+
+__all__ = ["Source", "Rejected", "Ledger", "discover", "fetch", "land", "ingest", "bronze"]
