@@ -52,7 +52,7 @@ class Grams:
         hashes, owners, h = [], [], np.zeros(len(codes), np.uint32)
         for k in range(6):
             h = h * np.uint32(16777619)
-            h[: len(codes) - k] ^= codes[k:]
+            h[: max(0, len(codes) - k)] ^= codes[k:]
             if k >= 2:
                 own = np.flatnonzero(left > k)
                 hashes.append((h[own] * np.uint32(2654435761)) >> np.uint32(16))
