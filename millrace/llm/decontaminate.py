@@ -27,7 +27,7 @@ from .common import bounded, let, read, words
 #: Fixed masks: each ignores other places, so up to two substitutions in SPAN words leave one mask whole.
 MASKS = ("1111010111", "1101111011", "1110111101")
 SPAN = 10
-VERIFY, SHARE = 20, 0.8
+VERIFY, SHARE = 13, 0.8
 MOST_BROADCAST = 2_000_000
 
 
