@@ -117,3 +117,29 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _oracle_sql() -> str:
+    """The query in SQL: windows as texts with the ignored words left out, agreement counted word by word."""
+    seed = " UNION ALL ".join(
+        "SELECT {id}, pos, w, " + f"'{m}' || " + " || ' ' || ".join(f"w[pos + {k + 1}]" for k, b in enumerate(m) if b == "1") + " AS seed FROM {t}"
+        for m in MASKS
+    )
+    return f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+da AS (SELECT doc_id, w, unnest(range(len(w) - {SPAN - 1})) AS pos FROM dw WHERE len(w) >= {SPAN}),
+ia AS (SELECT item_id, w, unnest(range(len(w) - {SPAN - 1})) AS pos FROM iw WHERE len(w) >= {SPAN}),
+ds AS ({seed.format(id="doc_id", t="da")}),
+bs AS ({seed.format(id="item_id", t="ia")}),
+hits AS (SELECT doc_id, item_id, bs.w AS iw, ds.w AS dw, bs.pos AS iat, ds.pos - bs.pos AS shift, least({VERIFY}, len(bs.w)) AS size
+  FROM ds JOIN bs ON ds.seed = bs.seed),
+scored AS (SELECT doc_id, item_id, size AS compared, list_max(list_transform(
+  range(greatest(iat + {SPAN} - size, 0), least(iat, len(iw) - size) + 1),
+  lambda s: len(list_filter(range(s, s + size), lambda k: k + shift >= 0 AND k + shift < len(dw) AND iw[k + 1] = dw[k + shift + 1])))) AS agreeing FROM hits),
+short AS (SELECT doc_id, item_id, len(i.w) AS compared, len(i.w) AS agreeing FROM dw d JOIN iw i ON d.w = i.w WHERE len(i.w) > 0 AND len(i.w) < {SPAN})
+SELECT doc_id, item_id, CAST(max(agreeing) AS BIGINT) AS agreeing, CAST(max(compared) AS BIGINT) AS compared, count(*) AS hits
+FROM (SELECT * FROM scored WHERE agreeing >= {SHARE} * compared UNION ALL BY NAME SELECT * FROM short) GROUP BY doc_id, item_id"""
+
+
+ORACLE_SQL = _oracle_sql()

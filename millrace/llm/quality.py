@@ -181,3 +181,24 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(read(spark, sf_dir, "documents")).select(*cols)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rn, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rn, i, array_to_string(words[i : i + 4], ' ') AS gram FROM (SELECT rn, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+f AS (SELECT rn, i FROM g JOIN (SELECT rn, gram FROM g GROUP BY ALL HAVING count(*) > 1) USING (rn, gram)),
+r AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest(range(i, i + 5)) AS p FROM f) GROUP BY rn),
+p AS (SELECT rn, count(*) FILTER (WHERE word = before) AS n FROM (SELECT rn, word, lag(word) OVER (PARTITION BY rn ORDER BY k) AS before
+  FROM (SELECT rn, unnest(words) AS word, unnest(range(len(words))) AS k FROM w)) GROUP BY rn),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+  coalesce(r.n, 0) AS n_repeat_words, coalesce(p.n, 0) AS stutters, len(regexp_extract_all(text, '[!?]')) AS marks,
+  len(regexp_extract_all(text, '\p{Lu}')) AS capitals FROM w LEFT JOIN r USING (rn) LEFT JOIN p USING (rn)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 10 * marks > 3 * n_words OR 2 * capitals > word_chars OR 10 * stutters > 3 * n_words) AS kept FROM b
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate, quality, urls
 from .decontaminate import op5_decontamination
 from .extract import op3_html_extraction
 from .licences import op6_licence_scan
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE_SQL,
+    "op4_url_filters": urls.ORACLE_SQL,
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+}

@@ -145,3 +145,43 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle_sql() -> str:
+    """The query in SQL, its steps written out one after the other."""
+    upper, lower = f"'{_UPPER}'", f"'{_LOWER}'"
+    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?[a-z][a-z0-9+.\-]*://([^/?#"''>\s]*)"""
+    cases = {"rule": "", "verdict": ""}
+    for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
+        cases["rule"] += fits + f"'{h}{p}' "
+        cases["verdict"] += fits + f"'{v}' "
+    sql = f"""
+WITH parts AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {upper}, {lower}), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+j AS (SELECT *, CASE {cases["rule"]} END AS rule, CASE {cases["verdict"]} END AS rule_verdict FROM p),
+links AS (SELECT host AS src, translate(target, {upper}, {lower}) AS dst FROM (SELECT host,
+  unnest(list_distinct(regexp_extract_all(html, '{href}', 1))) AS target FROM p)),
+edges AS (SELECT src, dst, count(*) AS weight FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS src_share,
+  weight / sum(weight) OVER (PARTITION BY dst) AS dst_share FROM edges),
+seeds AS (SELECT host, max(good) AS good, max(bad) AS bad FROM (
+  SELECT host, CASE WHEN count(*) FILTER (WHERE rule_verdict = 'allow') >= {SEED_SHARE} * count(*) THEN 1.0 ELSE 0.0 END AS good,
+    CASE WHEN count(*) FILTER (WHERE rule_verdict = 'block') >= {SEED_SHARE} * count(*) THEN 1.0 ELSE 0.0 END AS bad FROM j GROUP BY host
+  UNION ALL SELECT src, 0.0, 0.0 FROM edges UNION ALL SELECT dst, 0.0, 0.0 FROM edges) GROUP BY host),
+r0 AS MATERIALIZED (SELECT host, seed_t, seed_d, seed_t AS trust, seed_d AS distrust FROM (SELECT host,
+  CAST(good AS DOUBLE) / greatest(sum(good) OVER (), 1) AS seed_t, CAST(bad AS DOUBLE) / greatest(sum(bad) OVER (), 1) AS seed_d FROM seeds))"""
+    for k in range(STEPS):
+        sql += f""",
+r{k + 1} AS MATERIALIZED (SELECT r.host, seed_t, seed_d,
+  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * seed_t + {DAMPING} * coalesce(t, 0) ELSE trust END AS trust,
+  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * seed_d + {DAMPING} * coalesce(d, 0) ELSE distrust END AS distrust FROM r{k} r
+  LEFT JOIN (SELECT dst AS host, sum(trust * src_share) AS t FROM shares JOIN r{k} ON src = host GROUP BY dst) a ON a.host = r.host
+  LEFT JOIN (SELECT src AS host, sum(distrust * dst_share) AS d FROM shares JOIN r{k} ON dst = host GROUP BY src) b ON b.host = r.host)"""
+    return sql + f"""
+SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN distrust > {THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN r{STEPS} r ON r.host = j.host"""
+
+
+ORACLE_SQL = _oracle_sql()
