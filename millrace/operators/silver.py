@@ -15,16 +15,16 @@ PROVENANCE = ["_src", "_batch_id", "_batch_version", "_source_file", "_row_numbe
 
 
 def with_provenance(df: DataFrame, source: str, batch: str = "full", version: int = 1, order: list[str] | None = None) -> DataFrame:
-    """Adds what is missing of the provenance columns; rows are numbered by ``order`` where they carry no number.
+    """Adds what is missing of the provenance columns.
 
-    Numbering a table that has no row numbers needs a total order and puts each batch through one task; files are
-    numbered as they are scanned (see sources.scan).
+    Scans number rows as they stand in their file (sources.scan).  Rows without a number get a hash of their ``order``
+    columns (default: all): no meaning, but the same in every run and without a shuffle; rows that share it are equal there.
     """
     new = {"_src": F.lit(source), "_batch_id": F.lit(batch), "_batch_version": F.lit(version), "_source_file": F.lit(source)}
     df = df.withColumns({c: v for c, v in new.items() if c not in df.columns})
     if "_row_number" not in df.columns:
-        w = Window.partitionBy("_batch_id", "_batch_version").orderBy(*(order or df.columns))
-        df = df.withColumn("_row_number", F.row_number().over(w).cast("long"))
+        values = [F.col(f"`{c}`") for c in (order or [c for c in df.columns if c not in new])]
+        df = df.withColumn("_row_number", F.pmod(F.xxhash64(*values), F.lit((1 << 62) - 1)))
     return df
 
 
@@ -142,9 +142,10 @@ def outcome(rows: DataFrame, spec: Entity) -> DataFrame:
     """survivor, duplicate or dead_letter for every row, with the dead letter's reason.
 
     One window over the key serves both ranks and the key's acceptance, so rows are shuffled once.  Rows without a
-    valid key never compete; they are spread by their content instead of meeting under one key.
+    valid key never compete; they are spread evenly instead of meeting under one key.
     """
-    spread = F.when(F.col("_key_ok"), F.col("_sk")).otherwise(F.concat_ws("|", "_content", "_batch_id", F.col("_row_number").cast("string")))
+    alone = F.concat(F.lit("!"), F.monotonically_increasing_id().cast("string"))
+    spread = F.when(F.col("_key_ok"), F.col("_sk")).otherwise(alone)
     df = rows.withColumn("_group", spread).withColumn("_good", F.col("_key_ok") & F.col("_reason").isNull())
     w = Window.partitionBy("_group").orderBy(*survivor_order(spec))
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
