@@ -175,7 +175,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the cascade keeps, with their own columns."""
     cascade = Cascade().fit(docs)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return measure(docs, whole).where(cascade.passes()).select("row.*")
+    # a generator's result cannot be pushed down as a filter, which would measure every text a second time
+    verdict = F.explode_outer(F.filter(F.array(cascade.passes()), lambda ok: ok)).alias("ok")
+    return measure(docs, whole).select("row", verdict).where(F.col("ok")).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
