@@ -16,6 +16,9 @@ from millrace.llm.packing import pack
 from millrace.llm.quality import keep_good
 from millrace.llm.simhash import keep_one
 
+#: Jaccard similarity of word shingles from which two documents are near duplicates.
+SIMILAR = 0.8
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cascade keeps."""
@@ -30,9 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each near-duplicate group.
 
-    Shingles of five words, as for every stage on word shingles that no contract fixes.
+    Shingles of five words, as for every stage on word shingles that no contract fixes.  Linked are fingerprints within
+    the radius and texts with a Jaccard similarity of SIMILAR or more.
     """
-    return keep_one(docs, shingle=5)
+    return keep_one(docs, shingle=5, similar=SIMILAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

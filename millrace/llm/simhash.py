@@ -36,15 +36,19 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 HELD = 4_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles (A-Z lower-cased, repeats included)."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's word shingles (A-Z lower-cased, repeats included)."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(shingle, len(tokens))
     digest, join = xxhash.xxh64_intdigest, b" ".join
     runs = zip(*[itertools.islice(tokens, k, None) for k in range(size)])
-    h = np.fromiter((digest(join(r), SEED) for r in runs), np.uint64, len(tokens) - size + 1)
+    return np.fromiter((digest(join(r), SEED) for r in runs), np.uint64, len(tokens) - size + 1)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes (0 if there are none)."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         part = h[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -52,6 +56,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones > len(h)).tolist()))
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    return bits_of(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long)."""
 
@@ -155,12 +164,19 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None
+) -> DataFrame:
+    """doc_id, fp, component_id of every row; with ``similar``, texts at that Jaccard similarity are linked too."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, shingle))
     fps = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(fps, radius), scratch)
+    pairs = links(fps, radius)
+    if similar is not None:
+        from .shingles import similar_links
+
+        pairs = similar_links(docs, pairs, shingle, similar, scratch)
+    found = components(pairs, scratch)
     member = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # the root is a fingerprint, the class id the smallest doc_id
     moved = scratch.keep(member.where("fp <> root or first is null"))
@@ -182,12 +198,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None
+) -> DataFrame:
     """Of each component the rows of its smallest doc_id, once; columns as in ``docs``.
 
     Rows without a doc_id stay, as nothing tells them apart.
     """
-    marked = near_duplicates(docs, shingle, radius)
+    marked = near_duplicates(docs, shingle, radius, similar)
     gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
     rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
     return rows.join(gone, F.col("row.doc_id") == gone["doc_id"], "left_anti").select("row.*")

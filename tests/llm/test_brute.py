@@ -121,6 +121,29 @@ def test_simhash_components(spark, monkeypatch):
         assert all(np.uint64(got[k].fp & (2**64 - 1)) == f[k] for k in range(len(f)))
 
 
+def test_near_duplicates_reach_their_similarity(spark):
+    g = random.Random(12)
+    texts = []
+    for k in range(40):
+        w = [f"w{g.randrange(10**6)}" for _ in range(150)]
+        texts.append(" ".join(w))
+        for _ in range(3):  # some on each side of 0.8, some only by way of another copy
+            for at in g.sample(range(150), g.randint(1, 3)):
+                w[at] = f"n{g.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], " ".join(texts[0].split() * 2), None, "", "two words", "two words"]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    a, b = np.array([(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if near(x, y)]).T
+    want = graph.local_components(len(texts), a, b).tolist()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, similar=0.8).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    narrow = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5).collect()}
+    assert narrow != got  # the radius alone reaches few of them
+
+
 def test_no_pair_within_the_radius_is_lost():
     g = np.random.default_rng(1)
     base = g.integers(0, 2**63, 300, dtype=np.uint64)
