@@ -6,8 +6,8 @@ reference are template (same text in nearly all aligned pages) and which are slo
 container that holds most of the varying text outside elements that never hold main text.  A page's main text is what
 stands in the node aligned with that region, without elements that tag, name or link density mark as
 menus, notices, adverts, forms or comments.  Where a page does not fit its host's wrapper, its own
-article, main or body element takes the region's place.  A template node inside the slot region is dropped only if the
-region is no article or main element and it is the same in TEMPLATE of at least MIN_PAGES pages.
+article, main or body element takes the region's place.  A template node without children inside the slot region is
+dropped if it is the same in TEMPLATE of at least MIN_PAGES pages.
 
 Skew: reference pages come from a partial aggregate (min_by); they are broadcast if few, else joined to
 pages over salted hosts, so a host with a third of all pages is spread over SALTS tasks.  Statistics leave a task summed up.
@@ -152,13 +152,12 @@ def main_text(page: str, wrapper: Wrapper | None) -> str:
     if wrapper is not None and wrapper.region is not None:
         pairs = align(wrapper.root, root)
         region = next((b for a, b in pairs if a is wrapper.region), None)
-        if region is not None and region.tag not in ("article", "main"):
+        if region is not None:
             for a, b in pairs:
                 if a.index in wrapper.constant and not b.children and clean(own_text(b)) == wrapper.texts[a.index]:
                     b.dropped = True
-    own = own_region(nodes)
-    if region is None or own.tag in ("article", "main") and region.tag not in ("article", "main"):
-        region = own
+    if region is None:
+        region = own_region(nodes)
     return " ".join(blocks(region))
 
 

@@ -234,6 +234,13 @@ def test_extraction():
     assert len(pairs) == 5
 
 
+def test_constant_notice_inside_an_article_goes(spark):
+    page = lambda n: f"<body><article><p>Text {n} of a page</p><div class=x>Same words everywhere</div></article><div>Foot</div></body>"
+    data = [(k, "http://h.net/", page(k)) for k in range(8)] + [(9, "http://h.net/", "<article><p>Another root</p></article>")]
+    got = extract.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k} of a page" for k in range(8)} | {9: "Another root"}
+
+
 def test_url_trust_travels(spark):
     pages = [
         (1, "http://a.com/x", '<a href="http://evil.net/">'), (2, "http://evil.net/q", None),
