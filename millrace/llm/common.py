@@ -64,6 +64,18 @@ class Scratch:
             target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], n: str, heavy: int = 1000) -> DataFrame:
+    """``rows`` joined with ``side``, whose column ``n`` says how many rows each key has; ``side`` has distinct keys.
+
+    Keys with over 1/``heavy`` of all rows are fewer than ``heavy`` and are broadcast, so no task gets all rows of such a
+    key; the others are joined by a shuffle.  Both are read twice: callers pass tables, not plans.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(side.where(F.col(n) * heavy > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(side.where(F.col(n) * heavy <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def bounded(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; counts no further than that."""
     return df.limit(most_rows + 1).count() <= most_rows

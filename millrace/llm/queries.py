@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, urls
+from . import decontaminate, lines, quality, urls
 from .decontaminate import op5_decontamination
 from .extract import op3_html_extraction
 from .licences import op6_licence_scan
@@ -31,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op4_url_filters": urls.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op10_line_dedup": lines.ORACLE_SQL,
 }

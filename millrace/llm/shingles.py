@@ -2,8 +2,9 @@
 
 Candidates come from min-hashes: BANDS keys of ROWS minima each.  A pair at 0.8 shares no key with a probability of
 (1 - 0.8 ** ROWS) ** BANDS = 3e-6.  Keys travel in binary blocks.  Every pair that shares a key is compared
-exactly on its shingles unless the two are in one component already: first each text with the smallest id of its group,
-so that a group of n near copies costs n comparisons, then the pairs of a group that are still apart.
+exactly on its shingles unless the two are in one component already: first each text with the smallest id of its groups, then
+what is still apart with another member of each group, picked anew for each, and then the pairs that are apart even now.  Copies of
+one text are in one component after a few comparisons each, so a group of n near copies costs n and not n * n of them.
 
 A text's id is its hash, so exact copies are one.  Texts without a word have no shingles and no links here.
 """
@@ -153,18 +154,31 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similar: float, sc
     return scratch.keep(both.select("s", "t").mapInArrow(compare, "a long, b long"))
 
 
+def _apart(e: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, n, fp and component of the members of groups that lie in several components."""
+    e = e.select("key", "id", "n", "fp").join(components(found, scratch), F.col("fp") == F.col("node"), "left")
+    e = scratch.keep(e.select("key", "id", "n", "fp", F.coalesce("root", "fp").alias("root")))
+    apart = e.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return scratch.keep(e.join(apart.select("key"), "key", "left_semi"))
+
+
 def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: float, scratch: Scratch) -> DataFrame:
     """``other`` links (a, b: fingerprints) and those that join all texts at ``similar`` or more."""
     e = scratch.keep(shared(docs, shingle))
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similar - 1e-9)
-    tested = scratch.keep(e.where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y")).distinct())
+    pair = lambda a, b: [F.greatest(a, b).alias("x"), F.least(a, b).alias("y")]
+    tested = scratch.keep(e.where("id <> first").select(*pair("id", "first")).distinct())
     found = scratch.keep(other.unionByName(verified(docs, tested, shingle, similar, scratch)))
-    e = e.join(components(found, scratch), F.col("fp") == F.col("node"), "left")
-    e = scratch.keep(e.select("key", "id", "n", F.coalesce("root", "fp").alias("root")))
-    apart = e.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    e = scratch.keep(e.join(apart.select("key"), "key", "left_semi"))
+
+    e = _apart(e, found, scratch)
+    chosen = e.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id", "n", "root")).alias("p"))
+    next_ = e.join(chosen, "key").where((F.col("root") != F.col("p.root")) & alike(F.col("n"), F.col("p.n")))
+    next_ = scratch.keep(next_.select(*pair("id", "p.id")).distinct().join(tested, ["x", "y"], "left_anti"))
+    found = scratch.keep(found.unionByName(verified(docs, next_, shingle, similar, scratch)))
+
+    e, tested = _apart(e, found, scratch), tested.unionByName(next_)
     a, b = (e.select("key", *[F.col(c).alias(c + s) for c in ("id", "n", "root")]) for s in "xy")
     rest = a.join(b, "key").where((F.col("rootx") < F.col("rooty")) & alike(F.col("nx"), F.col("ny")))
-    rest = rest.select(F.greatest("idx", "idy").alias("x"), F.least("idx", "idy").alias("y")).distinct()
+    rest = rest.select(*pair("idx", "idy")).distinct()
     rest = scratch.keep(rest.join(tested, ["x", "y"], "left_anti"))
     return found.unionByName(verified(docs, rest, shingle, similar, scratch))

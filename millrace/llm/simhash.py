@@ -13,7 +13,8 @@ large-star and small-star steps.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; a null
 ``doc_id`` keeps its row and takes its component from the others (null if it has none); repeated rows
-stay; an empty table gives an empty table; only ``doc_id`` and ``text`` are read.
+stay; rows that share a doc_id and have different texts are different rows; an empty table gives an
+empty table; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read
@@ -62,14 +63,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+    """doc_id, text_id (a hash of the text) and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp)], names=["doc_id", "text_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_id long, fp long")
+
+
+def place() -> Column:
+    """A row's place among all rows: those with a doc_id first, then by doc_id and text."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id")
 
 
 def flips(bits: int, most: int) -> np.ndarray:
@@ -119,9 +126,11 @@ def meet(fps: np.ndarray, left: np.ndarray, free: int, prefix: int) -> tuple[np.
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints ``fp`` to links (a, b) that join the same fingerprints as all pairs within ``radius``."""
-    half = radius // 2
+    half = (radius + 1) // 2
     total = fps.count()
     bits = min(16, max(4, math.ceil(math.log2(max(total, 1) / 2048))) if total > 2048 else 4)
+    while bits < 28 and total * sum(math.comb(bits, k) for k in range(half + 1)) >> bits > HELD:
+        bits += 1
     near = flips(bits, half)
     lowest = 64 - bits
 
@@ -164,51 +173,51 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None
-) -> DataFrame:
-    """doc_id, fp, component_id of every row; with ``similar``, texts at that Jaccard similarity are linked too."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _classes(
+    docs: DataFrame, scratch: Scratch, shingle: int, radius: int, similar: float | None
+) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, text_id, fp), and for each fp the ``place`` that comes first in its component."""
     marked = scratch.keep(fingerprints(docs, shingle))
-    fps = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    fps = scratch.keep(marked.groupBy("fp").agg(F.min(place()).alias("first")))
     pairs = links(fps, radius)
     if similar is not None:
         from .shingles import similar_links
 
         pairs = similar_links(docs, pairs, shingle, similar, scratch)
     found = components(pairs, scratch)
-    member = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # the root is a fingerprint, the class id the smallest doc_id
-    moved = scratch.keep(member.where("fp <> root or first is null"))
-    roots = fps.join(found.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi")
-    smallest = (
-        moved.select("root", "first")
-        .unionByName(roots.select(F.col("fp").alias("root"), "first"))
-        .groupBy("root")
-        .agg(F.min("first").alias("component_id"))
-    )
-    linked = (
-        moved.select("fp", "root").unionByName(roots.select("fp", F.col("fp").alias("root"))).join(smallest, "root")
+    # only fingerprints of components with more than one need looking at
+    inside = found.select(F.col("node").alias("fp"), "root").unionByName(
+        found.select(F.col("root").alias("fp"), "root").distinct()
     )
-    classes = scratch.keep(
-        fps.join(linked.select("fp", "component_id"), "fp", "left").select(
-            "fp", F.coalesce("component_id", "first").alias("component_id")
-        )
-    )
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    inside = scratch.keep(inside.join(fps, "fp"))
+    smallest = inside.groupBy("root").agg(F.min("first").alias("component"))
+    joined = inside.select("fp", "root").join(smallest, "root").select("fp", "component")
+    classes = fps.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    return marked, scratch.keep(classes)
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None
+) -> DataFrame:
+    """doc_id, fp, component_id of every row; with ``similar``, texts at that Jaccard similarity are linked too."""
+    marked, classes = _classes(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, similar)
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", F.col("component.doc_id").alias("component_id"))
 
 
 def keep_one(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None
 ) -> DataFrame:
-    """Of each component the rows of its smallest doc_id, once; columns as in ``docs``.
+    """Of each component the row with the smallest doc_id (then text hash), once; columns as in ``docs``.
 
-    Rows without a doc_id stay, as nothing tells them apart.
+    Rows without a doc_id come last, so one of them stays only where a component has no others.
     """
-    marked = near_duplicates(docs, shingle, radius, similar)
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
+    marked, classes = _classes(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, similar)
+    gone = marked.join(classes, "fp").where(place() != F.col("component")).select("doc_id", "text_id").distinct()
     rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
-    return rows.join(gone, F.col("row.doc_id") == gone["doc_id"], "left_anti").select("row.*")
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_id"))
+    same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_id"] == gone["text_id"])
+    left = rows.join(gone, same, "left_anti")
+    return left.dropDuplicates(["doc_id", "text_id"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

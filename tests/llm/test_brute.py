@@ -144,6 +144,14 @@ def test_near_duplicates_reach_their_similarity(spark):
     assert narrow != got  # the radius alone reaches few of them
 
 
+def test_odd_radius(spark):
+    g = np.random.default_rng(2)
+    base = g.integers(0, 2**62, 60, dtype=np.int64)
+    other = [int(x) ^ sum(1 << int(k) for k in g.choice(62, 3, replace=False)) for x in base]
+    got = simhash.links(spark.createDataFrame([(int(x),) for x in [*base.tolist(), *other]], "fp long"), 3).collect()
+    assert {frozenset(p) for p in got} == {frozenset((int(x), y)) for x, y in zip(base, other)}
+
+
 def test_no_pair_within_the_radius_is_lost():
     g = np.random.default_rng(1)
     base = g.integers(0, 2**63, 300, dtype=np.uint64)
@@ -186,31 +194,80 @@ def test_banded_distance():
             assert lines.within(a, b, most) == (edits(a, b) <= most), (a, b, most)
 
 
-def test_line_classes(spark):
+def near_lines(n=120):
     g = random.Random(8)
-    base = ["the quick brown fox jumps over it", "lorem ipsum dolor sit amet cons", "another line with enough letters"]
+    base = ["the quick brown fox jumps over it", "lorem ipsum dolor sit amet cons", "another line with enough letters", "a medium line", "x y z"]
     docs = []
-    for i in range(120):
+    for i in range(n):
         b = list(g.choice(base))
         for _ in range(g.randint(0, 5)):
-            k = g.randint(0, len(b) - 1)
+            k = g.randint(0, max(0, len(b) - 1))
             b[k : k + g.randint(0, 1)] = g.choice(["", "a", "é"])
-        docs.append((i, "".join(b) + "\nshort\n" + g.choice(base)))
+        docs.append((i - i % 3, "".join(b) + "\nshort\n \n" + g.choice(base)))
+    return docs
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_classes(spark, monkeypatch, hot):
+    docs = near_lines()  # three rows have the same doc_id
+    ids = {t: i for i, t in enumerate(sorted({t for _, t in docs}))}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").distinct().collect()}
     at = {}
     for i, t in docs:
         for k, line in enumerate(t.split("\n")):
-            if len(line) >= lines.MIN_CHARS:
-                at.setdefault(line, []).append((i, k))
+            if line.strip():
+                at.setdefault(line, set()).add((i, hashes[t], k))
+    assert len(ids) > 50
     want = {}
     for line, places in at.items():
-        near = [m for m in at if m != line and edits(line, m) <= 2]
+        near = [m for m in at if m != line and edits(line, m) <= min(2, min(len(m), len(line)) // 12)]
         for p in places:
-            want[p] = (min(places), len(near), p == min(places) and all(min(at[m]) > p for m in near))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.line_no): ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) for r in lines.line_classes(df).collect()}
+            want[p] = (min(places)[0], len(near), p == min(places) and all(min(at[m]) > p for m in near))
+    if hot:  # every segment of these lines goes out in parts
+        keys = {k for x in at for k, _ in lines._entries(x, lines._plan(len(x), 2), xxhash.xxh3_64_intdigest)}
+        monkeypatch.setattr(lines, "hot_segments", lambda *a: sorted(keys)[::2])
+    got = {(r.doc_id, r.text_id, r.line_no): (r.class_doc_id, r.n_links, r.kept) for r in lines.line_classes(df).collect()}
     assert got == want
 
 
+def test_large_segments_are_parted_without_loss(monkeypatch):
+    g = np.random.default_rng(3)
+    texts = list({"Page " + "".join(g.choice(list("0123456789abcdef"), 6)) + " of the long catalogue" for _ in range(900)})
+    texts += [t[:7] + "é" + t[8:] for t in texts[:200]]
+    rows = []
+    for k, t in enumerate(texts):
+        s = lines.sketch(np.frombuffer(t.encode("utf-32-le"), "<u4"))
+        rows += [(key, k, s, own) for key, own in lines._entries(t, lines._plan(len(t), 2), xxhash.xxh3_64_intdigest)]
+    e = np.array(rows, lines._ENTRY)
+    pairs = lambda: {(min(p), max(p)) for x, y in lines._meetings(e, 2) for p in zip(x.tolist(), y.tolist())}
+    monkeypatch.setattr(lines, "FEW", 20)
+    parted = pairs()
+    monkeypatch.setattr(lines, "FEW", 10**9)
+    whole = pairs()
+    near = {(i, j) for i, j in whole if edits(texts[i], texts[j]) <= 2}
+    assert len(near) > 200 and near <= parted
+
+
+def test_hot_segments_are_found(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 8)
+    df = spark.range(3000).selectExpr("id doc_id", "concat('The same start of every line, ', md5(cast(id as string))) text")
+    assert 1 <= len(lines.hot_segments(df)) <= 3
+    assert lines.hot_segments(df.limit(0)) == []
+
+
+def test_repeated_numbers_lose_no_text(spark):
+    line, one, two = "The line that all the rows have in common.", "Only the second row has this sentence.", "Only the third row says this instead."
+    rows = [(0, line), (1, f"{line}\n{one}"), (1, f"{line}\n{two}"), (2, "short\nshort"), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in lines.drop_repeated(df).collect()) == [
+        ("0", line), ("1", one), ("1", two), ("2", "short\nshort"), ("None", line)
+    ]
+    rows = [(0, line), (1, line), (1, f"{one} {two}"), (1, f"{one} {two}"), (2, line), (None, line), (None, two), (None, two)]
+    left = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("0", line), ("1", f"{one} {two}"), ("None", two)]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     g = random.Random(9)
     words = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
