@@ -30,6 +30,9 @@ HINTS = frozenset(
 )
 LAYOUT = frozenset("with has no without layout".split())
 CONTAINERS = frozenset("article main section div td body center".split())
+#: Names of what readers write, which is no main text however long it is.
+READERS = frozenset("comment comments commentlist respond replies reply discussion disqus".split())
+LISTS = CONTAINERS | frozenset("ul ol dl table".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -46,16 +49,21 @@ def _speaks(name: str) -> bool:
     return not HINTS.isdisjoint(parts) and LAYOUT.isdisjoint(parts)
 
 
+def _by_readers(name: str) -> bool:
+    return not READERS.isdisjoint(_PARTS.split(name))
+
+
 class Node:
     """A block element; ``parts`` holds its texts (str) and child nodes in page order."""
 
-    __slots__ = ("tag", "label", "parts", "children", "dropped", "hinted", "index", "linked", "size", "shape", "holds")
+    __slots__ = ("tag", "label", "parts", "children", "dropped", "forced", "hinted", "index", "linked", "size", "shape", "holds")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.label = tag, tag
         self.parts: list = []
         self.children: list[Node] = []
-        self.dropped, self.hinted = tag in DROPPED, False
+        #: ``forced``: by its kind or because it is not shown; ``hinted``: only by its name.
+        self.dropped, self.hinted, self.forced = tag in DROPPED, False, False
         self.linked = 0  # characters of link text directly in here
         self.index = self.size = self.shape = 0
         self.holds = tag in ("article", "main")
@@ -70,6 +78,8 @@ class Node:
                     if name == "class":
                         self.label = f"{tag}.{value.split()[0]}" if value.split() else tag
                     self.hinted |= any(_speaks(n) for n in value.split())
+                    self.forced |= any(_by_readers(n) for n in value.split())
+        self.forced |= self.dropped
 
 
 def parse(page: str) -> Node:

@@ -12,7 +12,7 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
-from millrace.llm import decontaminate, extract, graph, licences, lines, packing, quality, simhash, tokens, toxicity, urls
+from millrace.llm import decontaminate, dom, extract, graph, licences, lines, packing, quality, simhash, tokens, toxicity, urls
 from millrace.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -298,6 +298,67 @@ def test_constant_notice_inside_an_article_goes(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Text {k} of a page" for k in range(8)} | {9: "Another root"}
 
 
+def plain_match(a, b):
+    """Simple tree matching as defined, without any shortcut."""
+    if a.label != b.label:
+        return 0
+    table = [[0] * (len(b.children) + 1)]
+    for x in a.children:
+        row = [0]
+        for j, y in enumerate(b.children):
+            row.append(max(table[-1][j + 1], row[-1], table[-1][j] + plain_match(x, y)))
+        table.append(row)
+    return 1 + table[-1][-1]
+
+
+def test_tree_matching():
+    g = random.Random(14)
+
+    def tree(depth):
+        tag = g.choice(["div", "p", "section"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(g.randint(0, 3))) if depth and tag != 'p' else 'x'}</{tag}>"
+
+    for _ in range(300):
+        a, b = (dom.parse(f"<body>{tree(3)}{tree(3)}</body>") for _ in "ab")
+        dom.number(a), dom.number(b)
+        want = plain_match(a, b)
+        assert extract.Matching().solve(a, b) == want
+        pairs = extract.align(a, b)
+        assert len(pairs) == want and all(x.label == y.label for x, y in pairs)
+        greedy = extract.Matching(cells=0)
+        assert greedy.solve(a, b) <= want  # in order only: never more than the best
+
+
+def test_deep_and_wide_pages():
+    deep = lambda leaf: "<body>" + "<div>" * 3000 + leaf + "</div>" * 3000 + "</body>"
+    wide = lambda c: "<body>" + "".join(f"<p><div>{c}{k}<section>{'<hr>' * (k % 7)}{c}</section></div>" for k in range(5000)) + "</body>"
+    for make in (deep, wide):
+        a, b = dom.parse(make("one")), dom.parse(make("<div>two</div>"))
+        n = len(dom.number(a))
+        dom.number(b)
+        assert len(extract.align(a, b)) >= 0.9 * n
+
+
+def test_slots_and_template_decide(spark):
+    g = random.Random(15)
+    words = lambda n: " ".join(g.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(g.randrange(999)) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href=/{k}>{words(3)}</a></li>" for k in range(n))
+    data, want = [], {}
+    for k in range(40):
+        parts = [words(12) for _ in range(g.randint(2, 5))]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        if k % 4:  # names that say nothing, or the contrary
+            html = f"<body><div class=a>We use what we use.</div><div class=b><p>Same words on each page.</p>{body}<ul class=z>{links(2 + k % 2)}</ul></div><div class=c>End of it</div></body>"
+        else:  # another layout of the same host
+            html = f"<body><section><div class='promo-box'>{body}</div><p>Always here</p></section><table><tr><td>{words(2)}</td></tr></table></body>"
+        data.append((k, "http://h.org/x", html))
+        want[k] = " ".join(parts)
+    got = {r.page_id: r.text for r in extract.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == want
+    alone = {k: extract.main_text(html, None) for k, _, html in data}
+    assert all(alone[k] != want[k] for k in alone)  # no page says by itself what its text is
+
+
 def test_url_trust_travels(spark):
     pages = [
         (1, "http://a.com/x", '<a href="http://evil.net/">'), (2, "http://evil.net/q", None),
