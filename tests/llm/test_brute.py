@@ -1,5 +1,6 @@
 """Operators against plain versions on small inputs."""
 
+import itertools
 import random
 import re
 import zlib
@@ -268,16 +269,62 @@ def test_repeated_numbers_lose_no_text(spark):
     assert sorted((str(r.doc_id), r.text) for r in left) == [("0", line), ("1", f"{one} {two}"), ("None", two)]
 
 
-def test_decontamination_tolerates_substitutions(spark):
+def test_masks_miss_no_pair_of_substitutions():
+    for i, j in itertools.combinations(range(decontaminate.VERIFY), 2):
+        assert any(
+            all(m[p - at] == "0" for p in (i, j) if 0 <= p - at < len(m))
+            for m in decontaminate.MASKS
+            for at in range(decontaminate.VERIFY - len(m) + 1)
+        )
+
+
+def plain_overlaps(docs, bench):
+    found = {}
+    for d, t in docs:
+        w = WORD.findall((t or "").lower())
+        for i, x in bench:
+            v = WORD.findall((x or "").lower())
+            size, best = min(13, len(v)), 0
+            if 0 < size < 5:
+                best = size if w == v else 0
+            elif size:
+                for shift in range(-len(v), len(w)):
+                    same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
+                    best = max([best] + [sum(same[s : s + size]) for s in range(len(v) - size + 1)])
+            if size and best >= (0.8 * 13 if size == 13 else size):
+                found[d, i] = (best, size)
+    return found
+
+
+def test_decontamination_finds_what_all_diagonals_show(spark):
     g = random.Random(9)
-    words = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
-    item = words(40)
-    mixed = list(item)
-    mixed[5], mixed[17], mixed[30] = "X", "Y", "Z"
-    texts = [words(200), words(50) + item + words(50), words(30) + mixed, words(20) + item[10:32], words(50) + item[:9] + words(60), ["ITEM" if 0 else x.upper() for x in item]]
-    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one short item")], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.overlaps(df, bench).collect()} == {1, 2, 3, 5}
+    words = lambda n: [f"w{g.randrange(300)}" for _ in range(n)]
+    items = [words(n) for n in (40, 25, 13, 14, 20, 12, 10, 7, 5, 4, 1, 0)]
+    docs = [words(g.randint(0, 80)) for _ in range(30)] + [list(x) for x in items]
+    for _ in range(150):
+        part = list(g.choice(items))
+        lo = g.randrange(max(1, len(part) - 12))
+        part = part[lo : lo + g.randint(10, 20)] if g.random() < 0.6 else part
+        for _ in range(g.randint(0, 4)):
+            if part:
+                part[g.randrange(len(part))] = g.choice(["other", "w1", "x"])
+        docs.append(words(g.randint(0, 9)) + [x.upper() for x in part] + words(g.randint(0, 9)))
+    docs = [(k, " ".join(t)) for k, t in enumerate(docs)] + [(900, None)]
+    bench = [(k, " ".join(t)) for k, t in enumerate(items)] + [(99, None)]
+    want = plain_overlaps(docs, bench)
+    assert len(want) > 60 and {i for _, i in want} >= set(range(9))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for most in (decontaminate.MOST_SEEDS, 0):  # by broadcast, by shuffle
+        got = {(r.doc_id, r.item_id): (r.agreeing, r.compared) for r in decontaminate.overlaps(d, b, most).collect()}
+        assert got == want
+
+
+def test_contaminated_rows_go_by_their_text(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    rows = [(1, item), (1, "clean words only"), (None, f"a {item} b"), (None, "clean"), (2, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(df, bench).collect()
+    assert sorted(map(repr, left)) == sorted(map(repr, [r for r in df.collect() if item not in (r.text or "")]))
 
 
 def test_extraction():
