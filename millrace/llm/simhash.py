@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, bounded, read
 from .graph import components, local_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Variants that a task holds at a time.
 HELD = 4_000_000
+#: Rows (16 bytes each) up to which those to be left out are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -211,13 +213,22 @@ def keep_one(
 
     Rows without a doc_id come last, so one of them stays only where a component has no others.
     """
-    marked, classes = _classes(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, similar)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked, classes = _classes(docs, scratch, shingle, radius, similar)
     gone = marked.join(classes, "fp").where(place() != F.col("component")).select("doc_id", "text_id").distinct()
+    gone = scratch.keep(gone)
+    gone = F.broadcast(gone) if bounded(gone, MOST_BROADCAST) else gone
     rows = docs.select(F.struct("*").alias("row"))  # one column, so no name can clash
     rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_id"))
-    same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_id"] == gone["text_id"])
-    left = rows.join(gone, same, "left_anti")
-    return left.dropDuplicates(["doc_id", "text_id"]).select("row.*")
+    same = lambda side: rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["text_id"] == side["text_id"])
+    left = rows.join(gone, same(gone), "left_anti")
+    # equal rows are rare; only where there are some do texts have to meet
+    equal = scratch.keep(marked.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1"))
+    if equal.limit(1).count():
+        equal = F.broadcast(equal) if bounded(equal, MOST_BROADCAST) else equal
+        once = left.join(equal, same(equal), "left_semi").dropDuplicates(["doc_id", "text_id"])
+        left = left.join(equal, same(equal), "left_anti").unionByName(once)
+    return left.select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
