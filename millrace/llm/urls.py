@@ -3,11 +3,16 @@
 A rule names a host (and all its subdomains) and the start of a path; the longest that fits decides.
 Pages that no rule fits take their host's verdict: trust is a personalised PageRank that starts at hosts
 with mostly allowed pages and follows links, distrust starts at hosts with mostly blocked pages and runs against them (who
-links to a bad host is suspect).  A host is blocked where distrust exceeds both the threshold and its trust.
+links to a bad host is suspect).  Every seed starts with 1, whatever their number, so a host's ranks depend on its surroundings and
+not on the size of the table.  A host is blocked where distrust exceeds both THRESHOLD and its trust.  A blocked host's distrust is
+shared among all that link to it: a link to one that everybody links to says little.
 
-Links are the absolute ``href`` targets of a page; links within a host carry nothing.  Pages are reduced to their own
+Steps go on until less than SETTLED of all mass moves (each step moves at most DAMPING of what the one before did, so this ends).  Mass
+that reaches a host without further links goes back to the seeds, which is the same as scaling the ranks to the seeds' mass at the end.
+
+Links are the ``href`` targets of a page that name a host; links within a host carry nothing.  Pages are reduced to their own
 distinct (host, target) pairs and those counted before any shuffle, so a host with a third of all pages costs a row
-per task.  Each step is written to the shared folder; hosts are never gathered on the driver.
+per task.  AT_ONCE steps at a time are written to the shared folder; hosts are never gathered on the driver.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no rule, and is judged like a host
 without links; null html has no links; repeated rows stay; an empty table gives an empty table; only ``page_id``,
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, read
+from .common import Scratch, bounded, join_skewed, read
 
 #: (verdict, host, start of the path), fixed by the query's contract.
 RULES = [
@@ -28,12 +33,13 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-DAMPING, STEPS, SETTLED, THRESHOLD = 0.85, 20, 1e-6, 1e-9
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-4, 1e-3
+AT_ONCE = 3
 #: A host is a seed if so many of its pages are allowed, or blocked, by rules.
 SEED_SHARE = 0.5
 MOST_BROADCAST = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HREF = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?[a-z][a-z0-9+.\-]*://([^/?#\"'>\s]*)"
+_HREF = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'>\s]*)"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,7 +67,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): on how many pages of ``src`` there is a link to ``dst``."""
     host, _ = split_url(F.col("url"))
     targets = F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), 1))
-    rows = pages.where(F.col("html").contains("://")).select(host.alias("src"), F.explode(targets).alias("dst"))
+    rows = pages.where(F.col("html").contains("//")).select(host.alias("src"), F.explode(targets).alias("dst"))
     rows = rows.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
     return rows.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
@@ -73,21 +79,17 @@ def _flow(ranks: DataFrame, edges: DataFrame, column: str, start: str, end: str)
 
 
 def host_verdicts(judged: DataFrame, pages: DataFrame) -> DataFrame:
-    """(host, verdict) of all hosts; ``judged`` has host and the rules' verdict of every page."""
+    """(host, n_pages, trust, distrust, host_verdict) of all hosts; ``judged`` has host and the rules' verdict of every page."""
     scratch = Scratch(pages.sparkSession, "hosts")
     share = lambda v: F.avg(F.when(F.col("rule_verdict") == v, 1.0).otherwise(0.0))
     seed = lambda v: F.when(share(v) >= SEED_SHARE, 1.0).otherwise(0.0)
-    seeds = judged.groupBy("host").agg(seed("allow").alias("good"), seed("block").alias("bad"))
+    seeds = judged.groupBy("host").agg(seed("allow").alias("good"), seed("block").alias("bad"), F.count("*").alias("n_pages"))
     edges = scratch.keep(host_links(pages))
     linked = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    hosts = seeds.join(linked, "host", "full").select(
-        "host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")
-    )
-    hosts = scratch.keep(hosts)
-    sums = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
-    start = lambda c, total: F.col(c) / F.lit(float(total) if total else 1.0)
-    ranks = hosts.select("host", start("good", sums.g).alias("seed_t"), start("bad", sums.b).alias("seed_d"))
-    ranks = scratch.keep(ranks.withColumn("trust", F.col("seed_t")).withColumn("distrust", F.col("seed_d")))
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    hosts = seeds.join(linked, "host", "full").select("host", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), or_zero("good"), or_zero("bad"))
+    ranks = scratch.keep(hosts.withColumns({"trust": F.col("good"), "distrust": F.col("bad")}))
+    scale = (1.0, 1.0)
     if edges.limit(1).count():
         out = edges.groupBy("src").agg(F.sum("weight").alias("out_w"))
         into = edges.groupBy("dst").agg(F.sum("weight").alias("in_w"))
@@ -98,29 +100,44 @@ def host_verdicts(judged: DataFrame, pages: DataFrame) -> DataFrame:
                 "src", "dst", (F.col("weight") / F.col("out_w")).alias("src_share"), (F.col("weight") / F.col("in_w")).alias("dst_share")
             )
         )
-        for _ in range(STEPS):
-            trust = _flow(ranks, shares, "trust", "src", "dst").withColumnRenamed("trust", "t")
-            distrust = _flow(ranks, shares, "distrust", "dst", "src").withColumnRenamed("distrust", "d")
-            step = lambda seed, got: (1 - DAMPING) * F.col(seed) + DAMPING * F.coalesce(got, F.lit(0.0))
-            moved = ranks.join(trust, "host", "left").join(distrust, "host", "left")
-            now = scratch.keep(
-                moved.select(
-                    "host",
-                    "seed_t",
-                    "seed_d",
-                    step("seed_t", "t").alias("trust"),
-                    step("seed_d", "d").alias("distrust"),
-                    (F.abs(step("seed_t", "t") - F.col("trust")) + F.abs(step("seed_d", "d") - F.col("distrust"))).alias("change"),
-                )
-            )
-            change = now.agg(F.sum("change")).first()[0] or 0.0
+        following = lambda seed, got: (1 - DAMPING) * F.col(seed) + DAMPING * F.coalesce(got, F.lit(0.0))
+
+        def step(now: DataFrame) -> DataFrame:
+            trust = _flow(now, shares, "trust", "src", "dst").withColumnRenamed("trust", "t")
+            distrust = _flow(now, shares, "distrust", "dst", "src").withColumnRenamed("distrust", "d")
+            moved = now.join(trust, "host", "left").join(distrust, "host", "left")
+            return moved.select(
+                "host", "n_pages", "good", "bad", following("good", "t").alias("trust"), following("bad", "d").alias("distrust"),
+                (F.abs(following("good", "t") - F.col("trust")) + F.abs(following("bad", "d") - F.col("distrust"))).alias("change"),
+            )
+
+        while True:
+            now = ranks
+            for _ in range(AT_ONCE):
+                now = step(now)
+            now = scratch.keep(now)
             scratch.drop(ranks)
-            ranks = now.drop("change")
-            ranks.scratch_path = now.scratch_path
-            if change < SETTLED:
+            ranks = now
+            total = now.agg(*[F.sum(c).alias(c) for c in ("change", "good", "bad", "trust", "distrust")]).first()
+            if total.change <= SETTLED * (total.good + total.bad):
                 break
+        scale = (total.good / total.trust if total.trust else 1.0, total.bad / total.distrust if total.distrust else 1.0)
+        scratch.drop(shares)
+    scratch.drop(edges)
+    ranks = ranks.select("host", "n_pages", *[(F.col(c) * F.lit(x)).alias(c) for c, x in zip(("trust", "distrust"), scale)])
     bad = (F.col("distrust") > THRESHOLD) & (F.col("distrust") > F.col("trust"))
-    return ranks.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("host_verdict"))
+    return ranks.select("*", F.when(bad, "block").otherwise("allow").alias("host_verdict"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust."""
+    host, path = split_url(F.col("url"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = matched(F.col("host"), F.col("path"), RULES if rules is None else rules)
+    judged = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
+    hosts = host_verdicts(judged, pages)
+    met = judged.join(F.broadcast(hosts), "host") if bounded(hosts, MOST_BROADCAST) else join_skewed(judged, hosts, ["host"], "n_pages")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict").alias("verdict"), "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -147,10 +164,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _oracle_sql() -> str:
-    """The query in SQL, its steps written out one after the other."""
+def _oracle_sql(steps: int = 63) -> str:
+    """The query in SQL, its steps written out one after the other (as many as surely settle)."""
     upper, lower = f"'{_UPPER}'", f"'{_LOWER}'"
-    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?[a-z][a-z0-9+.\-]*://([^/?#"''>\s]*)"""
+    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''>\s]*)"""
     cases = {"rule": "", "verdict": ""}
     for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
         fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
@@ -166,22 +183,22 @@ links AS (SELECT host AS src, translate(target, {upper}, {lower}) AS dst FROM (S
 edges AS (SELECT src, dst, count(*) AS weight FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS src_share,
   weight / sum(weight) OVER (PARTITION BY dst) AS dst_share FROM edges),
-seeds AS (SELECT host, max(good) AS good, max(bad) AS bad FROM (
-  SELECT host, CASE WHEN count(*) FILTER (WHERE rule_verdict = 'allow') >= {SEED_SHARE} * count(*) THEN 1.0 ELSE 0.0 END AS good,
-    CASE WHEN count(*) FILTER (WHERE rule_verdict = 'block') >= {SEED_SHARE} * count(*) THEN 1.0 ELSE 0.0 END AS bad FROM j GROUP BY host
-  UNION ALL SELECT src, 0.0, 0.0 FROM edges UNION ALL SELECT dst, 0.0, 0.0 FROM edges) GROUP BY host),
-r0 AS MATERIALIZED (SELECT host, seed_t, seed_d, seed_t AS trust, seed_d AS distrust FROM (SELECT host,
-  CAST(good AS DOUBLE) / greatest(sum(good) OVER (), 1) AS seed_t, CAST(bad AS DOUBLE) / greatest(sum(bad) OVER (), 1) AS seed_d FROM seeds))"""
-    for k in range(STEPS):
+r0 AS MATERIALIZED (SELECT host, max(good) AS good, max(bad) AS bad, max(good) AS trust, max(bad) AS distrust FROM (
+  SELECT host, CASE WHEN count(*) FILTER (WHERE rule_verdict = 'allow') >= {SEED_SHARE} * count(*) THEN 1.0::DOUBLE ELSE 0.0 END AS good,
+    CASE WHEN count(*) FILTER (WHERE rule_verdict = 'block') >= {SEED_SHARE} * count(*) THEN 1.0::DOUBLE ELSE 0.0 END AS bad FROM j GROUP BY host
+  UNION ALL SELECT src, 0.0, 0.0 FROM edges UNION ALL SELECT dst, 0.0, 0.0 FROM edges) GROUP BY host)"""
+    for k in range(steps):
         sql += f""",
-r{k + 1} AS MATERIALIZED (SELECT r.host, seed_t, seed_d,
-  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * seed_t + {DAMPING} * coalesce(t, 0) ELSE trust END AS trust,
-  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * seed_d + {DAMPING} * coalesce(d, 0) ELSE distrust END AS distrust FROM r{k} r
+r{k + 1} AS MATERIALIZED (SELECT r.host, good, bad,
+  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * good + {DAMPING} * coalesce(t, 0) ELSE trust END AS trust,
+  CASE WHEN EXISTS (SELECT 1 FROM shares) THEN {1 - DAMPING} * bad + {DAMPING} * coalesce(d, 0) ELSE distrust END AS distrust FROM r{k} r
   LEFT JOIN (SELECT dst AS host, sum(trust * src_share) AS t FROM shares JOIN r{k} ON src = host GROUP BY dst) a ON a.host = r.host
   LEFT JOIN (SELECT src AS host, sum(distrust * dst_share) AS d FROM shares JOIN r{k} ON dst = host GROUP BY src) b ON b.host = r.host)"""
-    return sql + f"""
+    return sql + f""",
+r AS (SELECT host, trust * coalesce(sum(good) OVER () / nullif(sum(trust) OVER (), 0), 1) AS trust,
+  distrust * coalesce(sum(bad) OVER () / nullif(sum(distrust) OVER (), 0), 1) AS distrust FROM r{steps})
 SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN distrust > {THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM j JOIN r{STEPS} r ON r.host = j.host"""
+FROM j JOIN r ON r.host = j.host"""
 
 
 ORACLE_SQL = _oracle_sql()
