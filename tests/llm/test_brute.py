@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import decontaminate, dom, extract, graph, licences, lines, packing, quality, simhash, tokens, toxicity, urls
@@ -55,11 +56,36 @@ def test_cascade_order_never_changes_the_verdict(spark):
         rules = quality.default_rules()
         random.Random(seed).shuffle(rules)
         c = quality.Cascade(rules)
-        got = [r[0] for r in quality.measure(df).select(c.passes()).collect()]
+        got = {r.doc_id for r in quality.measure(df).where(c.passes(quality.measured())).collect()}
+        assert got == {r.doc_id for r in quality.keep_good(df, c).collect()}
         want = want or got
         assert got == want
 
 
+def test_a_rejected_row_is_not_shown_to_the_next_rule(spark):
+    df = spark.createDataFrame([(1, "some words"), (2, "other words")], "doc_id long, text string")
+    boom = quality.Rule("boom", lambda f: F.when(f.n_words > 0, F.raise_error(F.concat(F.lit("asked: "), f.text)).cast("boolean")))
+    one = quality.Rule("one", lambda f: f.text.startswith("some"))
+    every = quality.Rule("every", lambda f: f.n_words > 0)
+    assert quality.keep_good(df, quality.Cascade([every, boom])).count() == 0
+    with pytest.raises(Exception, match="asked: other"):
+        quality.keep_good(df, quality.Cascade([one, boom])).collect()
+
+
+def test_cost_and_selectivity_order_the_rules(spark):
+    df = spark.createDataFrame([(k, f"text {k} " + "lorem ipsum dolor " * 50) for k in range(2000)], "doc_id long, text string")
+    often = lambda f: f.text.rlike("text [0-7]")
+    work = lambda f: F.size(F.array_distinct(F.transform(f.tokens, lambda w: F.sha2(w, 512)))) >= 0
+    rules = [
+        quality.Rule("never", lambda f: f.n_words < 0),
+        quality.Rule("dear", lambda f: work(f) & often(f)),
+        quality.Rule("cheap", often),
+    ]
+    c = quality.Cascade(rules).fit(df, chars=2_000_000)
+    assert [r.name for r in c.rules] == ["cheap", "dear", "never"]
+    assert c.stats["dear"][0] > c.stats["cheap"][0] and c.stats["cheap"][1] == c.stats["dear"][1] > 0.5
+
+
 def test_ids_and_counts_are_the_librarys():
     two, seven, enc = Tokenizer.from_file(J2), Tokenizer.from_file(J7), packing.WordEncoder(J2)
     for t in some_texts():
