@@ -443,10 +443,84 @@ def test_url_trust_travels(spark):
     assert (got[5].host, got[5].path, got[5].rule, got[5].verdict) == ("x.example.net", "/en/1", "example.net/en/", "allow")
 
 
-def test_licence_families(spark):
-    rows = [(1, "Hello\nReleased under the MIT License.\nHe lost his licence."), (3, "This file is licensed to you under the Apache License, Version 2.0 see")]
-    got = {(r.doc_id, r.line_no): (r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 1): ("mit", True), (1, 2): ("unknown", False), (3, 0): ("apache-2.0", True)}
+NOTICES = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+
+Some prose stands here, and nothing in it grants a thing.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+Released under the MIT License.
+Licensed under CC BY-NC 4.0.
+Das Haus mit dem Garten. Mit.
+Distributed under the Foo License
+He lost his driving licence."""
+
+
+def plain_scan(docs, model):
+    found = Counter()
+    for doc_id, text in docs:
+        lines_ = (text or "").split("\n") if text is not None else []
+        cue = [not set(model.cues).isdisjoint(licences.words_of(x)) for x in lines_]
+        units = [(k, 1) for k, c in enumerate(cue) if c]
+        runs = [k for k, c in enumerate(cue) if c and not (k and cue[k - 1])]
+        units += [(k, n) for k in runs for n in [next((j for j in range(k, len(cue)) if not cue[j]), len(cue)) - k] if n > 1]
+        mine = []
+        for k, n in units:
+            x = " ".join(lines_[k : k + n])
+            w = [y for line in lines_[k : k + n] for y in licences.words_of(line)]
+            assert w == licences.words_of(x)
+            z = model.logits(x)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            family, prob = model.predict(x)
+            if p[1:].max() >= licences.MIN_LISTED:
+                best = model.classes[int(z.argmax())]
+                shared = licences.confirmed_by(best, x) if best != "unknown" else 0.0
+                mine.append((k, n, family, round(prob, 3), round(shared, 3), family != "unknown" and shared >= licences.MIN_SHARED))
+        for u in mine:
+            inside = [v for v in mine if v[1] == 1 and v[5] and v[2] == u[2] and u[0] <= v[0] < u[0] + u[1]]
+            if u[1] == 1 or u[5] and not inside:
+                found[(doc_id, *u)] += 1
+        for x in (y for y, c in zip(lines_, cue) if not c):  # what has no cue is no licence, whatever its length
+            assert model.predict(x)[0] == "unknown"
+    return found
+
+
+def test_licences_against_every_line(spark):
+    docs = [(1, NOTICES), (1, NOTICES), (2, "Hello\nReleased under the MIT License.\nHe lost his licence."), (3, None), (4, ""), (5, "Mit\n" * 30)]
+    docs += [(10 + k, t) for k, t in enumerate(some_texts(60))]
+    docs += [(100 + k, "\n".join(ts)) for k, ts in enumerate(licences.TEMPLATES.values())] + [(200, "\n\n".join(licences.UNKNOWN))]
+    model = licences.train()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    names = ("doc_id", "line_no", "n_lines", "family", "probability", "shared", "confirmed")
+    got = Counter(tuple(round(r[n], 3) if n in ("probability", "shared") else r[n] for n in names) for r in licences.scan(df, model).collect())
+    assert got == plain_scan(docs, model)
+    confirmed = sorted((k[1] + k[2], k[3]) for k in got if k[0] == 1 and k[6])  # where they end
+    assert confirmed == [(3, "mit"), (7, "bsd"), (9, "mit"), (10, "cc-by-nc")]
+    assert all(n % 2 == 0 for k, n in got.items() if k[0] == 1)  # rows that come twice are listed twice
+
+
+def test_licences_held_out_notices(spark):
+    """Notices that training has not seen: found by their words, and others left unknown."""
+    texts = {
+        "mit": ["Licensed under MIT", "This package is available under the MIT license"],
+        "apache-2.0": ["Apache License, Version 2.0", "licensed under the Apache License 2.0, see NOTICE"],
+        "gpl": ["GPL version 3 or later", "You can redistribute it under the GNU General Public License v2"],
+        "bsd": ["New BSD license", "BSD 3-Clause, see COPYING."],
+        "mpl": ["This file is subject to the Mozilla Public License 2.0"],
+        "cc-by-sa": ["Creative Commons Attribution-ShareAlike 3.0 Unported"],
+        "unknown": [
+            "Licensed under the Python Software Foundation License", "Licensed under the Microsoft Public License", "Released under the Ruby License",
+            "The license of the pub was renewed.", "Distributed under the Foo License", "Version 3 of the report was published in June 2007.",
+        ],
+    }
+    model = licences.train()
+    right = [model.predict(t)[0] == k for k, ts in texts.items() for t in ts]
+    assert np.mean(right) >= 0.85
+    assert not any(f != "unknown" and licences.confirmed_by(f, t) >= licences.MIN_SHARED for t in texts["unknown"] for f in [model.predict(t)[0]])
+    sample = licences.background(spark.createDataFrame([(1, "a\nb"), (2, None), (3, "x" * 30_000)], "doc_id long, text string"))
+    assert set(sample) == {"a", "b"}
 
 
 def test_toxicity_gradient_and_accuracy():
