@@ -3,8 +3,11 @@
 Candidates come from min-hashes: BANDS keys of ROWS minima each.  A pair at 0.8 shares no key with a probability of
 (1 - 0.8 ** ROWS) ** BANDS = 3e-6.  Keys travel in binary blocks.  Every pair that shares a key is compared
 exactly on its shingles unless the two are in one component already: first each text with the smallest id of its groups, then
-what is still apart with another member of each group, picked anew for each, and then the pairs that are apart even now.  Copies of
-one text are in one component after a few comparisons each, so a group of n near copies costs n and not n * n of them.
+what is still apart with another member of each group, picked anew for each.  Copies of one text are in one component then, mostly.
+Members of groups that are apart even now meet in a task, each with its shingles and a byte of each min-hash: pairs that may be
+similar enough by those (SLACK below, four standard deviations at 0.8 of the estimate from 160 min-hashes) are compared there, until they
+are in one component.  So texts that only share a common passage are neither sent nor put out in pairs.  A group goes to tasks in
+tiles of TILE texts.
 
 A text's id is its hash, so exact copies are one.  Texts without a word have no shingles and no links here.
 """
@@ -25,6 +28,7 @@ from .simhash import bits_of, hashes
 BANDS, ROWS = 32, 5
 #: Candidate texts up to which their ids are broadcast to fetch them.
 MOST_BROADCAST = 1_000_000
+SLACK, TILE = 0.13, 2048
 
 _g = np.random.default_rng(42)
 _A = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -32,14 +36,19 @@ _B, _MIX = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64), _g.integers(0,
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("fp", "<i8"), ("n", "<i4")])
 
 
-def keys_of(distinct: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set of shingle hashes."""
+def minima(distinct: np.ndarray) -> np.ndarray:
+    """The BANDS * ROWS min-hashes of a set of shingle hashes."""
     least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
     for at in range(0, len(distinct), 1024):
         part = distinct[at : at + 1024, None] * _A
         part += _B
         np.minimum(least, part.min(axis=0), out=least)
-    x = (least.reshape(BANDS, ROWS) >> np.uint64(7)) * (_MIX | np.uint64(1))
+    return least >> np.uint64(7)
+
+
+def keys_of(distinct: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingle hashes."""
+    x = minima(distinct).reshape(BANDS, ROWS) * (_MIX | np.uint64(1))
     x = (x ^ x >> np.uint64(29)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     x *= np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(32)
@@ -162,6 +171,87 @@ def _apart(e: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(e.join(apart.select("key"), "key", "left_semi"))
 
 
+def bodies(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, a byte of each min-hash (sig) and the different shingle hashes (body) of the texts in ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(hashes(t.as_py(), shingle)) for t in b.column(1)]
+            sig = pa.array([minima(x).astype(np.uint8).tobytes() for x in sets], pa.binary())
+            body = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sig, body], names=["id", "sig", "body"])
+
+    ids = F.broadcast(ids) if bounded(ids, MOST_BROADCAST) else ids
+    texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, sig binary, body binary").dropDuplicates(["id"])
+
+
+def met(rows: dict, similar: float) -> list[tuple[int, int]]:
+    """Links (fingerprints) that join the similar members of one tile of a group; components come with them as ``root``."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows["id"]), -1)
+    root, tile = (np.array(rows[c], np.int64) for c in ("root", "tile"))
+    n = np.array([len(x) // 8 for x in rows["body"]])
+    ours, theirs = (np.flatnonzero(tile == rows[c][0]) for c in ("low", "high"))
+    band = int((sig == sig[0]).all(axis=0).reshape(BANDS, ROWS).all(axis=1).argmax())  # the first that all share
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    links = []
+    for at in range(0, len(ours), 32):
+        i = ours[at : at + 32]
+        same = sig[i][:, None, :] == sig[theirs][None, :, :]
+        ok = (same.mean(axis=2) >= similar - SLACK) & (root[i][:, None] != root[theirs][None, :])
+        # a pair that shares several keys is looked at under the first
+        ok &= same.reshape(*ok.shape, BANDS, ROWS).all(axis=3).argmax(axis=2) == band
+        ok &= np.minimum.outer(n[i], n[theirs]) >= (similar - 1e-9) * np.maximum.outer(n[i], n[theirs])
+        for a, b in zip(*np.nonzero(ok)):
+            a, b = int(i[a]), int(theirs[b])
+            x, y = top(int(root[a])), top(int(root[b]))
+            if x != y:
+                u, v = (np.frombuffer(rows["body"][k], np.uint64) for k in (a, b))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if both >= similar * (len(u) + len(v) - both) - 1e-9:
+                    up[max(x, y)] = min(x, y)
+                    links.append((rows["fp"][a], rows["fp"][b]))
+    return links
+
+
+def late_links(docs: DataFrame, e: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b: fingerprints) that join the similar members of groups in several components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: dict) -> pa.RecordBatch:
+            links = np.array(met(rows, similar), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
+
+        now, rows = None, None
+        for batch in batches:
+            cols = batch.to_pydict()
+            for k in range(batch.num_rows):
+                group = cols["key"][k], cols["low"][k], cols["high"][k]
+                if group != now:
+                    if rows:
+                        yield out(rows)
+                    now, rows = group, {c: [] for c in cols}
+                for c in cols:
+                    rows[c].append(cols[c][k])
+        if rows:
+            yield out(rows)
+
+    tiles = e.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = e.select("key", "id", "fp", "root").join(tiles, "key")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
+    rows = rows.join(bodies(docs, e.select("id").distinct(), shingle), "id")
+    parted = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return parted.mapInArrow(run, "a long, b long")
+
+
 def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: float, scratch: Scratch) -> DataFrame:
     """``other`` links (a, b: fingerprints) and those that join all texts at ``similar`` or more."""
     e = scratch.keep(shared(docs, shingle))
@@ -176,9 +266,5 @@ def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: floa
     next_ = scratch.keep(next_.select(*pair("id", "p.id")).distinct().join(tested, ["x", "y"], "left_anti"))
     found = scratch.keep(found.unionByName(verified(docs, next_, shingle, similar, scratch)))
 
-    e, tested = _apart(e, found, scratch), tested.unionByName(next_)
-    a, b = (e.select("key", *[F.col(c).alias(c + s) for c in ("id", "n", "root")]) for s in "xy")
-    rest = a.join(b, "key").where((F.col("rootx") < F.col("rooty")) & alike(F.col("nx"), F.col("ny")))
-    rest = rest.select(*pair("idx", "idy")).distinct()
-    rest = scratch.keep(rest.join(tested, ["x", "y"], "left_anti"))
-    return found.unionByName(verified(docs, rest, shingle, similar, scratch))
+    rest = late_links(docs, _apart(e, found, scratch), shingle, similar)
+    return found.unionByName(scratch.keep(rest))

@@ -1,6 +1,7 @@
 """Operators against plain versions on small inputs."""
 
 import itertools
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import decontaminate, dom, extract, graph, licences, lines, packing, quality, simhash, tokens, toxicity, urls
+from millrace.llm import decontaminate, dom, extract, graph, licences, lines, packing, quality, shingles, simhash, tokens, toxicity, urls
 from millrace.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,7 +149,7 @@ def test_simhash_components(spark, monkeypatch):
         assert all(np.uint64(got[k].fp & (2**64 - 1)) == f[k] for k in range(len(f)))
 
 
-def test_near_duplicates_reach_their_similarity(spark):
+def test_near_duplicates_reach_their_similarity(spark, monkeypatch):
     g = random.Random(12)
     texts = []
     for k in range(40):
@@ -167,6 +168,9 @@ def test_near_duplicates_reach_their_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, similar=0.8).collect()}
     assert [got[k] for k in range(len(texts))] == want
+    monkeypatch.setattr(shingles, "TILE", 3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, similar=0.8).collect()}
+    assert [got[k] for k in range(len(texts))] == want
     narrow = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5).collect()}
     assert narrow != got  # the radius alone reaches few of them
 
@@ -179,6 +183,30 @@ def test_odd_radius(spark):
     assert {frozenset(p) for p in got} == {frozenset((int(x), y)) for x, y in zip(base, other)}
 
 
+def test_members_of_a_group_meet_in_tiles():
+    g = random.Random(13)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"{k}x{j}" for j in range(90)]) for k in range(30)]  # a common passage, nothing more
+    base = [f"w{k}" for k in range(150)]
+    for _ in range(20):
+        w = list(base)
+        w[g.randrange(150)] = f"n{g.random()}"
+        texts.append(" ".join(w))
+    sets = [np.unique(simhash.hashes(t, 5)) for t in texts]
+    rows = {
+        "id": list(range(len(texts))), "fp": [1000 + k for k in range(len(texts))], "root": [1000 + k for k in range(len(texts))],
+        "body": [x.tobytes() for x in sets], "tile": [0] * len(texts), "low": [0], "high": [0],
+    }
+    sig = np.array([shingles.minima(x).astype(np.uint8) for x in sets])
+    sig[:, :5] = 7  # the key that brought them together
+    rows["sig"] = [x.tobytes() for x in sig]
+    links = shingles.met(rows, 0.8)
+    label = graph.local_components(len(texts), *(np.array(links).T - 1000))
+    near = [(i, j) for i in range(50) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    want = graph.local_components(len(texts), *np.array(near).T)
+    assert (label == want).all() and (label[:30] == np.arange(30)).all() and len(links) < 20
+
+
 def test_no_pair_within_the_radius_is_lost():
     g = np.random.default_rng(1)
     base = g.integers(0, 2**63, 300, dtype=np.uint64)
@@ -523,6 +551,23 @@ def test_licences_held_out_notices(spark):
     assert set(sample) == {"a", "b"}
 
 
+DATA = "/root/testdata/sf0.1"  # fewer rows hold too few toxic ones to learn from
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_toxicity_of_documents_held_out(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    got = toxicity.op9_toxicity(spark, DATA).collect()
+    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    for toxic, least in ((0, 0.95), (1, 0.8)):
+        right = [r.predicted == toxic for r in got if r.held_out and labels.get(r.doc_id) == toxic]
+        assert right and np.mean(right) >= least
+    used = toxicity.training_rows(*(spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels")))
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in used.select("doc_id").collect())
+
+
 def test_toxicity_gradient_and_accuracy():
     g = random.Random(10)
     word = lambda: "".join(g.choice("abcdefghij") for _ in range(5))
