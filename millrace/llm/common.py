@@ -29,18 +29,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a session on one machine gets a temporary one; a cluster's executors could not see that, so there it is an error.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is done with."""
+    """Tables written to the shared folder to cut lineage.
+
+    ``drop`` removes one that is done with; the rest, which results still read, goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -52,6 +60,9 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            target, files = self._files(self.root)
+            files.deleteOnExit(target)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back
@@ -59,9 +70,12 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            target, files = self._files(path)
+            files.delete(target, True)
+
+    def _files(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], n: str, heavy: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ cover the text to its end; a text scores as its highest window.  Training altern
 highest window and fitting it, and ends with a logistic calibration of the texts' scores.
 
 The model is fitted on a bounded sample of the labelled rows that are not held out (MOST_TOXIC and MOST_CLEAN, the
-smallest hashes of doc_id); every text is scored whole.
+smallest hashes of doc_id; one text of at most MOST_CHARS characters for each); every text is scored whole.
 
 Defined results: null and wordless texts score as one window without words; rows without doc_id are scored and not
 held out; a document labelled twice counts as toxic if any row says so; without rows of both
@@ -28,7 +28,7 @@ from .common import read
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, ATTEND = 8, 6, 10, 65536, 8
-MOST_TOXIC, MOST_CLEAN, MOST_WORDS, MIN_TEXTS = 800, 1200, 20_000, 3
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_WORDS, MIN_TEXTS = 800, 1200, 200_000, 20_000, 3
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 5
 #: Share of words whose own embedding is left out in training, so that their characters have to do.
 WORD_DROP, DECAY = 0.5, 1e-4
@@ -397,18 +397,19 @@ def remainder(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int = MOST_CLEAN) -> DataFrame:
-    """doc_id, toxic, text of a bounded sample of the labelled rows that are not held out."""
+    """doc_id, toxic, text of a bounded sample of the labelled rows that are not held out; a repeated doc_id gives its least text."""
     one = labels.where("doc_id is not null and toxic is not null").where(remainder("doc_id") != 0)
     one = one.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = [
         one.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, toxic), (0, clean))
     ]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # at most toxic + clean rows
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= MOST_CHARS)
+    return short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Net:
-    rows = training_rows(docs, labels).distinct().collect()
+    rows = training_rows(docs, labels).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return fit([r.text for r in rows], [int(r.toxic) for r in rows])
 
