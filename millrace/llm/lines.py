@@ -277,7 +277,7 @@ def candidates(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
                     h = line_of(line.encode(), 42)
                     if h in seen:
                         continue
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(h)
                     raw = line.encode("utf-32-le")
@@ -291,7 +291,7 @@ def candidates(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
                                 part = key_of((k ^ (s & m)).to_bytes(8, "little"), p + 1)
                                 mine.append((part, h, s, own))
                     rows += mine
-                    if len(rows) > 300_000:
+                    if len(rows) > 150_000:
                         yield blocks()
         if rows:
             yield blocks()

@@ -4,10 +4,9 @@ Candidates come from min-hashes: BANDS keys of ROWS minima each.  A pair at 0.8
 (1 - 0.8 ** ROWS) ** BANDS = 3e-6.  Keys travel in binary blocks.  Every pair that shares a key is compared
 exactly on its shingles unless the two are in one component already: first each text with the smallest id of its groups, then
 what is still apart with another member of each group, picked anew for each.  Copies of one text are in one component then, mostly.
-Members of groups that are apart even now meet in a task, each with its shingles and a byte of each min-hash: pairs that may be
-similar enough by those (SLACK below, four standard deviations at 0.8 of the estimate from 160 min-hashes) are compared there, until they
-are in one component.  So texts that only share a common passage are neither sent nor put out in pairs.  A group goes to tasks in
-tiles of TILE texts.
+Members of groups that are apart even now meet in a task, each with a byte of each of SIGNS min-hashes; pairs that may be similar
+enough by those (SLACK below, which is 3.8 standard deviations of the estimate at 0.8) are compared as well.  So texts that only share
+a common passage are not put out in pairs.  A group goes to tasks in tiles of TILE texts.
 
 A text's id is its hash, so exact copies are one.  Texts without a word have no shingles and no links here.
 """
@@ -28,20 +27,23 @@ from .simhash import bits_of, hashes
 BANDS, ROWS = 32, 5
 #: Candidate texts up to which their ids are broadcast to fetch them.
 MOST_BROADCAST = 1_000_000
-SLACK, TILE = 0.13, 2048
+SIGNS, SLACK, TILE = 480, 0.07, 2048
 
 _g = np.random.default_rng(42)
 _A = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _B, _MIX = _g.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64), _g.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64)
+_MORE = np.random.default_rng(43)
+_A = np.concatenate([_A, _MORE.integers(0, 2**63, SIGNS - BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)])
+_B = np.concatenate([_B, _MORE.integers(0, 2**63, SIGNS - BANDS * ROWS, dtype=np.uint64)])
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("fp", "<i8"), ("n", "<i4")])
 
 
-def minima(distinct: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS min-hashes of a set of shingle hashes."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+def minima(distinct: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The first ``n`` min-hashes of a set of shingle hashes."""
+    least = np.full(n, np.uint64(2**64 - 1))
     for at in range(0, len(distinct), 1024):
-        part = distinct[at : at + 1024, None] * _A
-        part += _B
+        part = distinct[at : at + 1024, None] * _A[:n]
+        part += _B[:n]
         np.minimum(least, part.min(axis=0), out=least)
     return least >> np.uint64(7)
 
@@ -81,7 +83,7 @@ def shared(docs: DataFrame, shingle: int) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 if i in seen:
                     continue
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(i)
                 h = hashes(t.as_py(), shingle)
@@ -91,7 +93,7 @@ def shared(docs: DataFrame, shingle: int) -> DataFrame:
                     e["key"], e["id"], e["n"] = keys_of(distinct), i, len(distinct)
                     e["fp"] = np.uint64(bits_of(h)).view(np.int64)
                     rows.append(e)
-                if len(rows) >= 8192:
+                if len(rows) >= 4096:
                     yield blocks()
         if rows:
             yield blocks()
@@ -141,7 +143,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similar: float, sc
 
         def of(text: str) -> tuple[np.ndarray, int]:
             if text not in known:
-                if len(known) >= 500:
+                if len(known) >= 200:
                     known.clear()
                 h = hashes(text, shingle)
                 known[text] = np.unique(h), bits_of(h)
@@ -171,62 +173,47 @@ def _apart(e: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(e.join(apart.select("key"), "key", "left_semi"))
 
 
-def bodies(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, a byte of each min-hash (sig) and the different shingle hashes (body) of the texts in ``ids``."""
+def signatures(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id and a byte of each of SIGNS min-hashes (sig) of the texts in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(hashes(t.as_py(), shingle)) for t in b.column(1)]
-            sig = pa.array([minima(x).astype(np.uint8).tobytes() for x in sets], pa.binary())
-            body = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sig, body], names=["id", "sig", "body"])
+            sig = [minima(np.unique(hashes(t.as_py(), shingle)), SIGNS).astype(np.uint8).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary())], names=["id", "sig"])
 
     ids = F.broadcast(ids) if bounded(ids, MOST_BROADCAST) else ids
     texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, sig binary, body binary").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, sig binary").dropDuplicates(["id"])
 
 
-def met(rows: dict, similar: float) -> list[tuple[int, int]]:
-    """Links (fingerprints) that join the similar members of one tile of a group; components come with them as ``root``."""
+def close(rows: dict, similar: float) -> list[tuple[int, int]]:
+    """Pairs of ids in one tile of a group that lie in different components and may be similar enough."""
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows["id"]), -1)
-    root, tile = (np.array(rows[c], np.int64) for c in ("root", "tile"))
-    n = np.array([len(x) // 8 for x in rows["body"]])
+    ids, root, tile, n = (np.array(rows[c], np.int64) for c in ("id", "root", "tile", "n"))
     ours, theirs = (np.flatnonzero(tile == rows[c][0]) for c in ("low", "high"))
-    band = int((sig == sig[0]).all(axis=0).reshape(BANDS, ROWS).all(axis=1).argmax())  # the first that all share
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while x in up:
-            x = up[x]
-        return x
-
-    links = []
-    for at in range(0, len(ours), 32):
-        i = ours[at : at + 32]
+    keyed = BANDS * ROWS
+    band = int((sig[:, :keyed] == sig[0, :keyed]).all(axis=0).reshape(BANDS, ROWS).all(axis=1).argmax())  # the first that all share
+    pairs = []
+    for at in range(0, len(ours), 16):
+        i = ours[at : at + 16]
         same = sig[i][:, None, :] == sig[theirs][None, :, :]
         ok = (same.mean(axis=2) >= similar - SLACK) & (root[i][:, None] != root[theirs][None, :])
-        # a pair that shares several keys is looked at under the first
-        ok &= same.reshape(*ok.shape, BANDS, ROWS).all(axis=3).argmax(axis=2) == band
+        # a pair that shares several keys is put out under the first
+        ok &= same[:, :, :keyed].reshape(*ok.shape, BANDS, ROWS).all(axis=3).argmax(axis=2) == band
         ok &= np.minimum.outer(n[i], n[theirs]) >= (similar - 1e-9) * np.maximum.outer(n[i], n[theirs])
-        for a, b in zip(*np.nonzero(ok)):
-            a, b = int(i[a]), int(theirs[b])
-            x, y = top(int(root[a])), top(int(root[b]))
-            if x != y:
-                u, v = (np.frombuffer(rows["body"][k], np.uint64) for k in (a, b))
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                if both >= similar * (len(u) + len(v) - both) - 1e-9:
-                    up[max(x, y)] = min(x, y)
-                    links.append((rows["fp"][a], rows["fp"][b]))
-    return links
+        a, b = np.nonzero(ok)
+        a, b = ids[i[a]], ids[theirs[b]]
+        pairs += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())
+    return pairs
 
 
-def late_links(docs: DataFrame, e: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links (a, b: fingerprints) that join the similar members of groups in several components."""
+def close_pairs(docs: DataFrame, e: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Pairs (x, y) of members of groups in several components whose min-hashes allow ``similar``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: dict) -> pa.RecordBatch:
-            links = np.array(met(rows, similar), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
+            found = np.array(close(rows, similar), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["x", "y"])
 
         now, rows = None, None
         for batch in batches:
@@ -243,13 +230,13 @@ def late_links(docs: DataFrame, e: DataFrame, shingle: int, similar: float) -> D
             yield out(rows)
 
     tiles = e.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rows = e.select("key", "id", "fp", "root").join(tiles, "key")
+    rows = e.select("key", "id", "n", "root").join(tiles, "key")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
-    rows = rows.join(bodies(docs, e.select("id").distinct(), shingle), "id")
+    rows = rows.join(signatures(docs, e.select("id").distinct(), shingle), "id")
     parted = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return parted.mapInArrow(run, "a long, b long")
+    return parted.mapInArrow(run, "x long, y long")
 
 
 def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: float, scratch: Scratch) -> DataFrame:
@@ -266,5 +253,7 @@ def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: floa
     next_ = scratch.keep(next_.select(*pair("id", "p.id")).distinct().join(tested, ["x", "y"], "left_anti"))
     found = scratch.keep(found.unionByName(verified(docs, next_, shingle, similar, scratch)))
 
-    rest = late_links(docs, _apart(e, found, scratch), shingle, similar)
-    return found.unionByName(scratch.keep(rest))
+    tested = tested.unionByName(next_)
+    rest = close_pairs(docs, _apart(e, found, scratch), shingle, similar).distinct()
+    rest = scratch.keep(rest.join(tested, ["x", "y"], "left_anti"))
+    return found.unionByName(verified(docs, rest, shingle, similar, scratch))
