@@ -54,8 +54,8 @@ _DIRECTIVES = {
 }
 
 
-def java_pattern(fmt: str) -> str:
-    """A strftime format as a Java date pattern; lenient about leading zeros where fields are apart."""
+def java_pattern(fmt: str, padded: bool = False) -> str:
+    """A strftime format as a Java date pattern; lenient about leading zeros where fields are apart, unless ``padded`` (to write dates)."""
     out, at = [], 0
     while at < len(fmt):
         c = fmt[at]
@@ -73,7 +73,7 @@ def java_pattern(fmt: str) -> str:
             else:
                 out.append("SSSSSS")
         elif d in _DIRECTIVES:
-            packed = fmt[at : at + 1] == "%" or (at >= 4 and fmt[at - 4] == "%")
+            packed = padded or fmt[at : at + 1] == "%" or (at >= 4 and fmt[at - 4] == "%")
             out.append(_DIRECTIVES[d][1 if packed else 0])
         else:
             raise ValueError(f"unknown directive %{d} in {fmt!r}")
@@ -81,7 +81,8 @@ def java_pattern(fmt: str) -> str:
 
 
 def swapped(fmt: str) -> str | None:
-    """The day/month twin of a numeric format, if it has both."""
-    if "%d" in fmt and "%m" in fmt:
-        return fmt.replace("%d", "\0").replace("%m", "%d").replace("\0", "%m")
+    """The twin of a format that begins with day and month (either way round); dates that begin with the year have none."""
+    first, second = fmt[:2], fmt[3:5]
+    if {first, second} == {"%d", "%m"} and fmt[2] != "%":
+        return second + fmt[2] + first + fmt[5:]
     return None
