@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
-import glob
 import hashlib
+import io
 import json
 import os
 import re
+import tempfile
 import time
 import urllib.request
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import parse_time
 from ..functions.types import spark_type, widens
+from .files import Files
 
 PROVENANCE = ["_src", "_batch_id", "_batch_version", "_source_file", "_row_number", "_ingested_at"]
 _BATCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.\-]{0,63}")
@@ -34,7 +39,10 @@ class Rejected(Exception):
 
 @dataclass(frozen=True)
 class Source:
-    """A declared feed.  ``columns`` maps a name to its declared type, in file order."""
+    """A declared feed.  ``columns`` maps a name to its declared type, in file order; ``required`` ones must be in every file.
+
+    ``multiline``: records may have line breaks in quotes, so a file is read by one task; without it, large files are read in parts.
+    """
 
     name: str
     location: str
@@ -56,6 +64,10 @@ class Source:
     freshness_formats: tuple[str, ...] = ()
     redelivery: str = "replace"
     sheet: str | int = 0
+    header_row: int = 1
+    multiline: bool = True
+    connector: str = "file"
+    token_env: str | None = None
 
 
 # ---- discovery and fetching ---------------------------------------------------------------------------------------
@@ -71,21 +83,30 @@ def batch_order(batch: str, fmt: str | None = None):
     return (1, batch, batch)
 
 
-def discover(source: Source) -> list[tuple[str, str]]:
-    """(batch id, path) of every file of the feed, in batch order."""
-    if "{batch}" not in source.location:
-        if not os.path.exists(source.location):
+def discover(spark: SparkSession, source: Source, only: str | None = None) -> list[tuple[str, str]]:
+    """(batch id, path) of every file of the feed, or of the batch asked for, in batch order."""
+    head, token, tail = source.location.partition("{batch}")
+    if only is not None and not _BATCH.fullmatch(only):
+        raise Rejected("bad_batch_id", only)
+    if not token:
+        if source.connector == "file" and not Files(spark).exists(source.location):
             raise Rejected("file_not_found", source.location)
-        return [("full", source.location)]
-    before, after = source.location.split("{batch}", 1)
-    pattern = re.compile(re.escape(before) + r"(?P<batch>.+?)" + re.escape(after).replace(re.escape("{batch}"), "(?P=batch)") + r"\Z")
+        return [(only or "full", source.location)]
+    if only is not None:
+        return [(only, source.location.replace("{batch}", only))]
+    if source.connector != "file":
+        raise Rejected("batch_required", "what is behind a URL cannot be listed")
+    quoted = lambda t: re.sub(r"([*?\[\]{}\\])", r"\\\1", t)
+    listed = Files(spark).glob(quoted(head) + "*" + "*".join(map(quoted, tail.split("{batch}"))))
+    named = re.compile(re.escape(os.path.basename(head)) + "(?P<b>.+?)" + "(?P=b)".join(map(re.escape, tail.split("{batch}"))))
+    depth = tail.count("/") + 1
     found = []
-    for path in glob.glob(glob.escape(before) + "*" + glob.escape(after).replace(glob.escape("{batch}"), "*")):
-        m = pattern.match(path)
+    for path in listed:
+        m = named.fullmatch("/".join(path.split("/")[-depth:]))
         if m:
-            if not _BATCH.fullmatch(m["batch"]):
-                raise Rejected("bad_batch_id", m["batch"])
-            found.append((m["batch"], path))
+            if not _BATCH.fullmatch(m["b"]):
+                raise Rejected("bad_batch_id", m["b"])
+            found.append((m["b"], path))
     return sorted(found, key=lambda x: batch_order(x[0], source.batch_format))
 
 
@@ -106,12 +127,47 @@ def fetch(url: str, to: str, token: str | None = None, tries: int = 3, base: flo
     raise Rejected("unreachable", url)
 
 
-def md5_of(path: str) -> str:
-    h = hashlib.md5()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+def _reader(source: Source, text) -> Iterator[list[str]]:
+    """Records as another reader sees them; a line of nothing but spaces is none."""
+    double = source.escape == source.quote
+    rows = csv.reader(
+        text, delimiter=source.delimiter, quotechar=source.quote, doublequote=double, escapechar=None if double else source.escape
+    )
+    return (r for r in rows if r and (len(r) > 1 or r[0].strip()))
+
+
+def look(spark: SparkSession, source: Source, path: str) -> tuple[str, list[str], int | None]:
+    """(fingerprint, header, records) of a file, read in tasks and not on the driver.
+
+    Records are counted for CSV by a reader other than the one that lands them; a file that is read in parts is counted by its lines.
+    """
+    if source.format == "csv" and not source.multiline:
+        lines = spark.read.option("encoding", source.encoding).text(path)
+        full = lines.where(F.trim("value") != "")
+        n, digest = full.agg(F.count("*"), F.sum(F.xxhash64("value").cast("decimal(38,0)"))).first()
+        first = spark.read.text(path).limit(1).collect()
+        header = next(_reader(source, [first[0].value.lstrip("\ufeff")]), []) if first else []
+        return f"{n}-{digest}", [c.strip() for c in header], n - bool(source.header and n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                raw = content.as_buffer()
+                header, n = [], None
+                if source.format == "csv":
+                    text = io.TextIOWrapper(io.BytesIO(raw), encoding=source.encoding.replace("utf-8", "utf-8-sig"), newline="")
+                    rows = _reader(source, text)
+                    header = next(rows, []) if source.header else []
+                    n = sum(1 for _ in rows)
+                cols = [[hashlib.md5(raw).hexdigest()], [[c.strip() for c in header]], [n]]
+                kinds = [pa.string(), pa.list_(pa.string()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "header", "n"])
+
+    whole = spark.read.format("binaryFile").load(path).select("content")
+    found = whole.mapInArrow(run, "digest string, header array<string>, n long").collect()  # one row per file
+    if len(found) == 1:
+        return found[0].digest, list(found[0].header), found[0].n
+    return hashlib.md5("".join(sorted(r.digest for r in found)).encode()).hexdigest(), [], None
 
 
 # ---- scans --------------------------------------------------------------------------------------------------------
@@ -120,7 +176,7 @@ def md5_of(path: str) -> str:
 def read_text(spark: SparkSession, source: Source, path: str) -> DataFrame:
     """A CSV file as text columns plus the corrupt-record column (NULL where the record fits the dialect).
 
-    Read as a single multi-line file, so that quoted newlines hold and rows keep their order.
+    With ``multiline`` a file is read by one task, so that quoted newlines hold.
     """
     schema = ", ".join(f"`{c}` string" for c in source.columns) + f", `{CORRUPT}` string"
     df = spark.read.schema(schema).csv(
@@ -130,24 +186,36 @@ def read_text(spark: SparkSession, source: Source, path: str) -> DataFrame:
         escape=source.escape,
         header=source.header,
         encoding=source.encoding,
-        multiLine=True,
+        multiLine=source.multiline,
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=CORRUPT,
         enforceSchema=True,
     )
+    # a line of nothing but spaces is no record
+    spaces = F.col(CORRUPT) if len(source.columns) > 1 else F.coalesce(F.col(f"`{next(iter(source.columns))}`"), CORRUPT)
+    df = df.where(F.coalesce(F.trim(spaces) != "", F.lit(True)))
     empty = ["", *source.null_tokens]
-    return df.select(*[F.when(~F.col(c).isin(*empty), F.col(c)).alias(c) for c in source.columns], CORRUPT)
+    values = [F.when(~F.col(f"`{c}`").isin(*empty), F.col(f"`{c}`")).alias(c) for c in source.columns]
+    return df.select(*values, CORRUPT, F.col("_metadata.file_block_start").alias("_at"))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     return spark.read.option("primitivesAsString", True).option("multiLine", not lines).json(path)
 
 
+def sample(spark: SparkSession, source: Source, path: str, rows: int = 20_000) -> DataFrame:
+    """Up to ``rows`` records that fit the dialect, all columns as text under the names in the file, to propose types from."""
+    return spark.read.csv(
+        path, sep=source.delimiter, quote=source.quote, escape=source.escape, header=source.header, encoding=source.encoding,
+        multiLine=source.multiline, mode="DROPMALFORMED", inferSchema=False,
+    ).limit(rows)
+
+
 def read_excel(spark: SparkSession, source: Source, path: str) -> DataFrame:
     import pandas as pd
 
     try:
-        frame = pd.read_excel(path, sheet_name=source.sheet, dtype=str)
+        frame = pd.read_excel(path, sheet_name=source.sheet, header=source.header_row - 1, dtype=str)
     except ImportError as e:
         raise Rejected("unsupported_format", f"xlsx needs openpyxl ({e})") from None
     frame.columns = [str(c).strip() for c in frame.columns]
@@ -155,28 +223,27 @@ def read_excel(spark: SparkSession, source: Source, path: str) -> DataFrame:
     return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), schema)
 
 
-def header_of(source: Source, path: str) -> list[str]:
-    with open(path, encoding=source.encoding.replace("utf-8", "utf-8-sig"), newline="") as f:
-        first = next(csv.reader(f, delimiter=source.delimiter, quotechar=source.quote), [])
-    return [c.strip() for c in first]
-
-
-def count_records(source: Source, path: str) -> int:
-    """Records of a CSV file as a second reader counts them, streamed; blank lines are no records."""
-    double = source.escape == source.quote
-    with open(path, encoding=source.encoding.replace("utf-8", "utf-8-sig"), newline="") as f:
-        reader = csv.reader(
-            f, delimiter=source.delimiter, quotechar=source.quote, doublequote=double, escapechar=None if double else source.escape
-        )
-        n = sum(1 for row in reader if row)
-    return n - bool(source.header and n)
+def error_class(record: Column, source: Source) -> Column:
+    """What is wrong with a record that does not fit: too many columns, too few, or else its quotes or characters."""
+    q = re.escape(source.quote)
+    bare = F.regexp_replace(record, f"{q}[^{q}]*{q}", "")
+    n = F.size(F.split(bare, re.escape(source.delimiter)))
+    return F.when(n > len(source.columns), "too_many_columns").when(n < len(source.columns), "missing_columns").otherwise("malformed")
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """Rows of one file numbered from 1 in their order; refuses more than one partition."""
-    if df.rdd.getNumPartitions() > 1:
-        raise ValueError("rows of several partitions have no common order")
-    return df.withColumn("_row_number", F.monotonically_increasing_id() + 1)
+    """Rows of one file numbered from 1 in their order, whatever parts of it tasks read.
+
+    ``df`` must have come straight from a scan with the file's block start as ``_at``; parts are counted first (one row per part).
+    """
+    df = df.withColumn("_id", F.monotonically_increasing_id())
+    parts = df.groupBy("_at").agg(F.min("_id").alias("first"), F.count("*").alias("n")).orderBy("_at").collect()
+    offset, at = [], 1
+    for p in parts:
+        offset.append(F.when(F.col("_at") == p._at, F.col("_id") + F.lit(at - p.first)))
+        at += p.n
+    number = F.coalesce(*offset) if offset else F.lit(None)
+    return df.withColumn("_row_number", number.cast("long")).drop("_id", "_at")
 
 
 def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -200,8 +267,8 @@ def provenance(df: DataFrame, source: Source, batch: str, version: int, path: st
 
 
 def gate_columns(source: Source, found: list[str]) -> list[str]:
-    """Additional columns of a file; raises Rejected for missing ones, and for additional ones if they are refused."""
-    missing = [c for c in (source.required or tuple(source.columns)) if c not in found]
+    """Additional columns of a file; raises Rejected for required ones that are missing, and for additional ones if they are refused."""
+    missing = [c for c in source.required if c not in found]
     if missing:
         raise Rejected("missing_required_columns", ", ".join(missing))
     more = [c for c in found if c not in source.columns]
@@ -256,94 +323,163 @@ class Landed:
     n_rows: int
     n_rejects: int
     extra_columns: list[str]
+    types: dict[str, str]
+    held: DataFrame | None = None
 
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
 
-def land(spark: SparkSession, source: Source, batch: str, version: int, path: str, today: dt.date | None = None, now: str | None = None) -> Landed:
-    """One file through its gates; callers write ``rows`` and only then the ledger."""
+
+def land(
+    spark: SparkSession, source: Source, batch: str, version: int, path: str, today: dt.date | None = None, now: str | None = None,
+    first_types: dict[str, str] | None = None, seen: tuple | None = None,
+) -> Landed:
+    """One file through its gates; callers write ``rows`` and only then the ledger, and ``release`` what was held."""
     today = today or dt.date.today()
     now = now or dt.datetime.now().isoformat(sep=" ", timespec="seconds")
-    rejects, n_rejects = None, 0
+    rejects, n_rejects, types, held, records = None, 0, {}, None, None
     if source.format == "csv":
-        more = gate_columns(source, header_of(source, path)) if source.header else []
-        if more:  # the file's own order, so that values meet their names
-            source = Source(**(source.__dict__ | {"columns": {c: source.columns.get(c, "VARCHAR") for c in header_of(source, path)}}))
-        parsed = read_text(spark, source, path).persist()
-        rejects = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
-        rows = number_rows(parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
+        _, header, records = seen or look(spark, source, path)
+        more = gate_columns(source, header) if source.header else []
+        if source.header and list(source.columns) != header:  # the file's own order, so that values meet their names
+            source = replace(source, columns={c: source.columns.get(c, "VARCHAR") for c in header})
+        held = read_text(spark, source, path).persist()
+        bad = held.where(F.col(CORRUPT).isNotNull())
+        rejects = bad.select(error_class(F.col(CORRUPT), source).alias("error"), F.col(CORRUPT).alias("record"))
+        rows = number_rows(held.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
         n_rejects = rejects.count()
     elif source.format in ("json", "jsonl"):
         df = read_json(spark, path, source.format == "jsonl")
         more = gate_columns(source, df.columns)
-        rows = number_rows(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).coalesce(1))
+        texts = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+        rows = number_rows(df.select(*texts, F.col("_metadata.file_block_start").alias("_at")))
     elif source.format == "parquet":
         typed = spark.read.parquet(path)
         more = gate_columns(source, typed.columns)
-        gate_types(source, dict(typed.dtypes))
+        types = dict(typed.dtypes)
+        gate_types(source, types, first_types)
         rows = parquet_rows(spark, path)
     elif source.format == "xlsx":
         df = read_excel(spark, source, path)
         more = gate_columns(source, df.columns)
-        rows = number_rows(df.coalesce(1))
+        rows = number_rows(df.coalesce(1).withColumn("_at", F.lit(0)))
     else:
         raise Rejected("unsupported_format", source.format)
-    n = rows.count()
-    gate_volume(source, n)
-    gate_freshness(source, batch, rows, today)
-    if source.format == "csv":
-        records = count_records(source, path)
-        if records != n + n_rejects:
+    try:
+        n = rows.count()
+        gate_volume(source, n)
+        gate_freshness(source, batch, rows, today)
+        if records is not None and records != n + n_rejects:
             raise Rejected("record_count_mismatch", f"{records} records, {n} landed, {n_rejects} rejected")
-    return Landed(provenance(rows, source, batch, version, path, now), rejects, n, n_rejects, more)
+    except BaseException:
+        if held is not None:
+            held.unpersist()
+        raise
+    return Landed(provenance(rows, source, batch, version, path, now), rejects, n, n_rejects, more, types, held)
 
 
 class Ledger:
-    """What has landed: batch to (version, md5, rows); written only after the data."""
+    """What has landed: batch to (version, fingerprint, rows), and the types each feed began with; written only after the data."""
 
-    def __init__(self, path: str):
-        self.path = path
-        self.entries: dict[str, dict] = {}
-        if os.path.exists(path):
-            with open(path) as f:
-                self.entries = json.load(f)
+    def __init__(self, spark: SparkSession, path: str):
+        self.files, self.path = Files(spark), path
+        self.entries: dict[str, dict] = json.loads(self.files.read(path) or "{}")
 
-    def decide(self, source: Source, batch: str, md5: str) -> int | None:
+    def decide(self, source: Source, batch: str, digest: str) -> int | None:
         """The version to land as; None for content that has landed already."""
         known = self.entries.get(f"{source.name}/{batch}")
         if known is None:
             return 1
-        if known["md5"] == md5:
+        if known["digest"] == digest:
             return None
         if source.redelivery == "reject":
             raise Rejected("redelivery_rejected", batch)
         return known["version"] + 1
 
-    def record(self, source: Source, batch: str, version: int, md5: str, rows: int) -> None:
-        self.entries[f"{source.name}/{batch}"] = {"version": version, "md5": md5, "rows": rows}
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-        with open(f"{self.path}.part", "w") as f:
-            json.dump(self.entries, f, indent=1, sort_keys=True)
-        os.replace(f"{self.path}.part", self.path)
+    def first_types(self, source: Source) -> dict[str, str]:
+        return self.entries.get(f"types|{source.name}", {})
+
+    def record(self, source: Source, batch: str, version: int, digest: str, rows: int, types: dict[str, str] | None = None) -> None:
+        self.entries[f"{source.name}/{batch}"] = {"version": version, "digest": digest, "rows": rows}
+        if types:
+            self.entries[f"types|{source.name}"] = types | self.first_types(source)
+        self.files.write(self.path, json.dumps(self.entries, indent=1, sort_keys=True))
+
+
+def _download(spark: SparkSession, source: Source, batch: str, store: str, opener) -> str:
+    """A file behind a URL, put beside the store."""
+    url, files = source.location.replace("{batch}", batch), Files(spark)
+    with tempfile.TemporaryDirectory() as local:  # on the driver only; tasks read the copy
+        token = os.environ.get(source.token_env) if source.token_env else None
+        got = fetch(url, f"{local}/file", token, opener=opener)
+        to = f"{store}/_downloads/{source.name}/{batch}/{uuid.uuid4().hex[:8]}.{source.format}"
+        files.put(got, to)
+    return to
+
+
+def ingest(
+    spark: SparkSession, source: Source, store: str, ledger: Ledger, today: dt.date | None = None, only: str | None = None,
+    opener=urllib.request.urlopen,
+) -> list[dict]:
+    """All new batches of a feed into ``store``/<source>; a rejected file is reported, kept in the list of rejected files, and the next taken."""
+    report, files = [], Files(spark)
 
+    def refused(batch: str, path: str, e: Rejected) -> None:
+        entry = {"source": source.name, "batch": batch, "file": os.path.basename(path), "reason": e.reason, "detail": e.detail[:500]}
+        entry["rejected_at"] = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+        files.write(f"{store}/_rejected_files/{uuid.uuid4().hex}.json", json.dumps(entry))
+        report.append({"batch": batch, "status": "rejected", "reason": e.reason, "detail": e.detail})
 
-def ingest(spark: SparkSession, source: Source, store: str, ledger: Ledger, today: dt.date | None = None) -> list[dict]:
-    """All new batches of a feed into ``store``/<source>; a rejected file is reported and the next one taken."""
-    report = []
-    for batch, path in discover(source):
+    try:
+        found = discover(spark, source, only)
+    except Rejected as e:
+        refused(only or "", source.location, e)
+        return report
+    for batch, path in found:
         try:
-            md5 = md5_of(path)
-            version = ledger.decide(source, batch, md5)
+            if source.connector != "file":
+                path = _download(spark, source, batch, store, opener)
+            elif not files.exists(path):
+                raise Rejected("file_not_found", path)
+            seen = look(spark, source, path)
+            version = ledger.decide(source, batch, seen[0])
             if version is None:
                 report.append({"batch": batch, "status": "skipped"})
                 continue
-            got = land(spark, source, batch, version, path, today)
-            got.rows.write.mode("overwrite").parquet(f"{store}/{source.name}/_batch_id={batch}/_batch_version={version}")
-            ledger.record(source, batch, version, md5, got.n_rows)
-            report.append({"batch": batch, "status": "landed", "version": version, "rows": got.n_rows, "rejects": got.n_rejects})
+            got = land(spark, source, batch, version, path, today, first_types=ledger.first_types(source), seen=seen)
+            try:
+                got.rows.write.mode("overwrite").parquet(f"{store}/{source.name}/_batch_id={batch}/_batch_version={version}")
+                if got.n_rejects:
+                    named = got.rejects.select(F.lit(source.name).alias("source"), F.lit(batch).alias("batch"), F.lit(version).alias("batch_version"), "error", "record")
+                    named.write.mode("overwrite").parquet(f"{store}/_parse_rejects/{source.name}/{batch}/{version}")
+            finally:
+                got.release()
+            ledger.record(source, batch, version, seen[0], got.n_rows, got.types)
+            report.append(
+                {"batch": batch, "status": "landed", "version": version, "rows": got.n_rows, "rejects": got.n_rejects, "extra": got.extra_columns}
+            )
         except Rejected as e:
-            report.append({"batch": batch, "status": "rejected", "reason": e.reason, "detail": e.detail})
+            refused(batch, path, e)
     return report
 
 
+def rejected_files(spark: SparkSession, store: str) -> DataFrame:
+    """source, batch, file, reason, detail, rejected_at of every file that was turned away."""
+    schema = "source string, batch string, file string, reason string, detail string, rejected_at string"
+    if not Files(spark).exists(f"{store}/_rejected_files"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{store}/_rejected_files")
+
+
+def parse_rejects(spark: SparkSession, store: str, source: Source) -> DataFrame:
+    """source, batch, batch_version, error, record of every record that did not fit its dialect."""
+    schema = "source string, batch string, batch_version int, error string, record string"
+    if not Files(spark).exists(f"{store}/_parse_rejects/{source.name}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{store}/_parse_rejects/{source.name}/*/*")
+
+
 def bronze(spark: SparkSession, store: str, source: Source) -> DataFrame:
     """All landed batches of a feed, columns united by name."""
     return spark.read.option("mergeSchema", True).parquet(f"{store}/{source.name}/*/*")
@@ -356,6 +492,3 @@ def group_files(paths: list[str]) -> dict[str, list[str]]:
         folder, name = os.path.split(p)
         found.setdefault(os.path.join(folder, re.sub(r"\d+(?:[-_]\d+)*", "{batch}", name, count=1)), []).append(p)
     return {k if len(v) > 1 else v[0]: v for k, v in found.items()}
-
-
-__all__ = ["Source", "Rejected", "Ledger", "discover", "fetch", "land", "ingest", "bronze"]

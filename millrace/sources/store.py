@@ -2,85 +2,118 @@
 
 from __future__ import annotations
 
-import hashlib
+import contextlib
+import datetime as dt
 import json
 import os
-import shutil
+import time
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .files import Files
 
 KEPT = 3
+#: Columns of a staged version that say how each row got there; readers do not see them.
+TRACE = ("_action", "_withdrawn")
 
 
-def _put(path: str, text: str) -> None:
-    with open(f"{path}.part", "w") as f:
-        f.write(text)
-    os.replace(f"{path}.part", path)
+class Busy(RuntimeError):
+    """Another writer holds the table."""
 
 
 class Table:
     """``root``/v<N> holds version N; CURRENT names the visible one.  Readers never see a half-written version."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.files = spark, root, Files(spark)
 
     @property
     def version(self) -> int:
-        try:
-            with open(f"{self.root}/CURRENT") as f:
-                return int(f.read())
-        except FileNotFoundError:
-            return 0
+        return int(self.files.read(f"{self.root}/CURRENT") or 0)
+
+    def _read(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/v{n}")
 
     def read(self) -> DataFrame:
         if not self.version:
             raise FileNotFoundError(self.root)
-        return self.spark.read.parquet(f"{self.root}/v{self.version}")
+        return self._read(self.version).drop(*TRACE)
 
-    def commit(self, df: DataFrame) -> int:
-        """Writes the next version and then moves the pointer; a crash before that leaves the old version current."""
+    def stage(self, df: DataFrame) -> tuple[int, DataFrame]:
+        """Writes the next version without making it visible; gives its number and its rows as written, traces included."""
         n = self.version + 1
-        os.makedirs(self.root, exist_ok=True)
         df.write.mode("overwrite").parquet(f"{self.root}/v{n}")
-        _put(f"{self.root}/CURRENT", str(n))
+        return n, self._read(n)
+
+    def release(self, n: int) -> int:
+        """Makes version ``n`` the visible one; a crash before that leaves the old version current."""
+        self.files.write(f"{self.root}/CURRENT", str(n))
         for k in range(1, n - KEPT + 1):
-            shutil.rmtree(f"{self.root}/v{k}", ignore_errors=True)
+            self.files.delete(f"{self.root}/v{k}")
         return n
 
+    def commit(self, df: DataFrame) -> int:
+        return self.release(self.stage(df)[0])
+
+    @contextlib.contextmanager
+    def lease(self, hours: float = 6.0) -> Iterator[None]:
+        """Keeps other writers out; one that is older than ``hours`` was left by a crash and is taken over."""
+        path, mine = f"{self.root}/LEASE", f"{uuid.uuid4().hex} {time.time()}"
+        if not self.files.write(path, mine, new=True):
+            held = (self.files.read(path) or "").split()
+            if len(held) == 2 and time.time() - float(held[1]) < hours * 3600:
+                raise Busy(f"{self.root} is being written")
+            self.files.write(path, mine)
+            if self.files.read(path) != mine:
+                raise Busy(f"{self.root} is being written")
+        try:
+            yield
+        finally:
+            if self.files.read(path) == mine:
+                self.files.delete(path)
+
 
-def _sha256(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+def _hashes(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to sha256 of a folder's data files, hashed in tasks."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    return {os.path.basename(r.path): r.digest for r in found.select("path", F.sha2("content", 256).alias("digest")).collect()}
 
 
-def publish(tables: dict[str, DataFrame], root: str, snapshot: str) -> dict:
+def publish(tables: dict[str, DataFrame], root: str, snapshot: str, headlines: dict | None = None, published_at: str | None = None) -> dict:
     """A snapshot folder with a manifest of hashes; the pointer CURRENT moves when everything is in place."""
-    folder = f"{root}/{snapshot}"
-    files = {}
+    spark = next(iter(tables.values())).sparkSession
+    files, digests, folder = Files(spark), {}, f"{root}/{snapshot}"
     for name, df in sorted(tables.items()):
-        df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
-        parts = sorted(p for p in os.listdir(f"{folder}/{name}") if p.endswith(".parquet"))
-        files[name] = {p: _sha256(f"{folder}/{name}/{p}") for p in parts}
-    manifest = {"snapshot": snapshot, "files": files}
-    _put(f"{folder}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
-    _put(f"{root}/CURRENT", snapshot)
-    old = sorted((s for s in os.listdir(root) if os.path.isdir(f"{root}/{s}") and s != snapshot), key=lambda s: os.path.getmtime(f"{root}/{s}"))
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        digests[name] = dict(sorted(_hashes(spark, f"{folder}/{name}").items()))
+    stamp = published_at or dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+    manifest = {"snapshot": snapshot, "published_at": stamp, "files": digests, "headlines": headlines or {}}
+    files.write(f"{folder}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True, default=str))
+    files.write(f"{root}/CURRENT", snapshot)
+    old = [s for s in files.names(root) if s != snapshot and files.exists(f"{root}/{s}/manifest.json")]
+    old.sort(key=lambda s: files.modified(f"{root}/{s}/manifest.json"))
     for s in old[: max(0, len(old) - KEPT + 1)]:
-        shutil.rmtree(f"{root}/{s}")
+        files.delete(f"{root}/{s}")
     return manifest
 
 
+def manifest_of(spark: SparkSession, root: str) -> dict:
+    files = Files(spark)
+    return json.loads(files.read(f"{root}/{files.read(f'{root}/CURRENT').strip()}/manifest.json"))
+
+
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The published tables; raises ValueError if a file is not what the manifest says."""
-    with open(f"{root}/CURRENT") as f:
-        snapshot = f.read().strip()
-    with open(f"{root}/{snapshot}/manifest.json") as f:
-        manifest = json.load(f)
+    manifest = manifest_of(spark, root)
+    folder = f"{root}/{manifest['snapshot']}"
     for name, parts in manifest["files"].items():
-        for p, digest in parts.items():
-            if _sha256(f"{root}/{snapshot}/{name}/{p}") != digest:
-                raise ValueError(f"{name}/{p} has changed since it was published")
-    return {n: spark.read.parquet(f"{root}/{snapshot}/{n}") for n in manifest["files"]}
+        try:
+            same = _hashes(spark, f"{folder}/{name}") == parts
+        except Exception as e:  # checksums of the file system may see it first
+            raise ValueError(f"{name} cannot be read as it was published") from e
+        if not same:
+            raise ValueError(f"{name} has changed since it was published")
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in manifest["files"]}

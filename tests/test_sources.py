@@ -25,26 +25,72 @@ def test_landing_rejects_and_row_numbers(spark, tmp_path):
     got = scan.land(spark, source(tmp_path, null_tokens=("-",)), "1", 1, str(tmp_path / "s_1.csv"))
     rows = sorted(got.rows.collect(), key=lambda r: r._row_number)
     assert [(r.id, r.n, r._row_number) for r in rows] == [("a", "1", 1), ('b "q"\nc', "2", 2), ("x", None, 3)]
-    assert got.n_rejects == 1
+    assert got.n_rejects == 1 and [r.error for r in got.rejects.collect()] == ["too_many_columns"]
+    got.release()
+    write(tmp_path, "2", "n,id\n1,a\n   \n2\n3,c\n")  # another order, a line of spaces, a short record
+    got = scan.land(spark, source(tmp_path), "2", 1, str(tmp_path / "s_2.csv"))
+    assert [(r.id, r.n) for r in got.rows.orderBy("_row_number").collect()] == [("a", "1"), ("c", "3")] and got.n_rejects == 1
+
+
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    lines = [f"k{k},{k}" for k in range(20_000)]
+    write(tmp_path, "1", "id,n\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = scan.land(spark, source(tmp_path, multiline=False), "1", 1, str(tmp_path / "s_1.csv"))
+        assert got.rows.rdd.getNumPartitions() > 3
+        assert [(r.n, r._row_number) for r in got.rows.orderBy("_row_number").collect()] == [(str(k), k + 1) for k in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+def test_what_is_turned_away_is_kept(spark, tmp_path):
+    led, store = scan.Ledger(spark, f"{tmp_path}/ledger.json"), f"{tmp_path}/store"
+    write(tmp_path, "1", "id,n\na,1\nb,1,2,3\nc\n")
+    write(tmp_path, "2", "id,n\n")
+    s = source(tmp_path)
+    assert [r["status"] for r in scan.ingest(spark, s, store, led)] == ["landed", "rejected"]
+    assert [(r.batch, r.file, r.reason) for r in scan.rejected_files(spark, store).collect()] == [("2", "s_2.csv", "zero_rows")]
+    assert sorted((r.batch, r.error, r.record) for r in scan.parse_rejects(spark, store, s).collect()) == [
+        ("1", "missing_columns", "c"), ("1", "too_many_columns", "b,1,2,3")
+    ]
+    assert scan.ingest(spark, s, store, led, only="../x")[0]["reason"] == "bad_batch_id"
+    assert scan.ingest(spark, s, store, led, only="77")[0]["reason"] == "file_not_found"
+    assert scan.sample(spark, s, str(tmp_path / "s_1.csv")).columns == ["id", "n"]
+
+
+def test_urls_and_first_types(spark, tmp_path):
+    led, store = scan.Ledger(spark, f"{tmp_path}/ledger.json"), f"{tmp_path}/store"
+    s = scan.Source("web", "http://host/{batch}.csv", {"id": "VARCHAR"}, connector="http_file")
+    assert scan.ingest(spark, s, store, led)[0]["reason"] == "batch_required"
+    got = scan.ingest(spark, s, store, led, only="b1", opener=lambda r: io.BytesIO(b"id\nx\ny\n"))
+    assert got[0]["status"] == "landed" and got[0]["rows"] == 2 and scan.bronze(spark, store, s).count() == 2
+    for k, kind in enumerate(("int", "bigint", "string")):
+        spark.range(3).select(F.col("id").cast(kind).alias("v")).coalesce(1).write.parquet(f"{tmp_path}/p{k}")
+        part = next(f for f in os.listdir(f"{tmp_path}/p{k}") if f.endswith(".parquet"))
+        os.rename(f"{tmp_path}/p{k}/{part}", f"{tmp_path}/t_{k}.parquet")
+    s = scan.Source("t", f"{tmp_path}/t_{{batch}}.parquet", {"other": "INTEGER"}, "parquet")
+    got = scan.ingest(spark, s, store, led)
+    assert [r["status"] for r in got] == ["landed", "landed", "rejected"] and got[2]["reason"] == "type_change"
 
 
 def test_ledger_and_redelivery(spark, tmp_path):
-    led, store = scan.Ledger(f"{tmp_path}/ledger.json"), f"{tmp_path}/store"
+    led, store = scan.Ledger(spark, f"{tmp_path}/ledger.json"), f"{tmp_path}/store"
     write(tmp_path, "2", "id,n\na,1\n")
     s = source(tmp_path)
     assert scan.ingest(spark, s, store, led)[0]["status"] == "landed"
-    assert scan.ingest(spark, s, store, scan.Ledger(led.path))[0]["status"] == "skipped"
+    assert scan.ingest(spark, s, store, scan.Ledger(spark, led.path))[0]["status"] == "skipped"
     write(tmp_path, "2", "id,n\na,9\n")
-    assert scan.ingest(spark, s, store, scan.Ledger(led.path))[0]["version"] == 2
+    assert scan.ingest(spark, s, store, scan.Ledger(spark, led.path))[0]["version"] == 2
     write(tmp_path, "2", "id,n\na,8\n")
-    assert scan.ingest(spark, source(tmp_path, redelivery="reject"), store, scan.Ledger(led.path))[0]["reason"] == "redelivery_rejected"
+    assert scan.ingest(spark, source(tmp_path, redelivery="reject"), store, scan.Ledger(spark, led.path))[0]["reason"] == "redelivery_rejected"
     assert scan.bronze(spark, store, s).count() == 2
 
 
 @pytest.mark.parametrize(
     "text, more, reason",
     [
-        ("id\na\n", {}, "missing_required_columns"),
+        ("id\na\n", {"required": ("id", "n")}, "missing_required_columns"),
         ("id,n,z\na,1,2\n", {"additive": "reject"}, "unexpected_columns"),
         ("id,n\n", {}, "zero_rows"),
         ("id,n\na,1\n", {"min_rows": 2}, "volume_out_of_bounds"),
@@ -74,10 +120,10 @@ def test_other_formats(spark, tmp_path):
         scan.gate_types(scan.Source("p", part, {"id": "INTEGER", "n": "INTEGER"}, "parquet"), {"id": "bigint"})
 
 
-def test_batches_in_date_order_and_fetch(tmp_path):
+def test_batches_in_date_order_and_fetch(spark, tmp_path):
     for b in ("31-01-2024", "01-02-2024"):
         write(tmp_path, b, "id,n\n")
-    assert [b for b, _ in scan.discover(source(tmp_path, batch_format="%d-%m-%Y"))] == ["31-01-2024", "01-02-2024"]
+    assert [b for b, _ in scan.discover(spark, source(tmp_path, batch_format="%d-%m-%Y"))] == ["31-01-2024", "01-02-2024"]
     tries = []
 
     def opener(_):
