@@ -18,33 +18,28 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col("_sk"), F.struct("*").alias(name))
 
 
-def _pick(choice: Column, like: DataFrame) -> list[Column]:
-    return [F.coalesce(F.lit(None), choice.getField(c)).alias(c) for c in like.columns]
-
-
 def _newer(spec: Entity) -> Column:
     """Whether the batch's row is newer; equal versions are not."""
     f, t = F.col(f"f.{spec.version}"), F.col(f"t.{spec.version}")
     return F.coalesce((f > t) | (t.isNull() & f.isNotNull()), F.lit(False))
 
 
-def _met(target: DataFrame, batch: DataFrame) -> DataFrame:
-    return _side(target, "t").join(_side(batch, "f"), "_sk", "full")
-
-
 def _partition_filter(target: DataFrame, touched: DataFrame, spec: Entity) -> DataFrame:
     keys = touched.select("_src", *spec.partition).distinct()
     on = reduce(lambda a, b: a & b, [target[c].eqNullSafe(keys[c]) for c in ["_src", *spec.partition]])
     return target.join(keys, on, "left_anti")
 
 
-def classify(target: DataFrame, batch: DataFrame, spec: Entity, present: DataFrame | None = None) -> DataFrame:
-    """_sk, t, f and ``action`` of every key of either side.
+def classify(
+    target: DataFrame, batch: DataFrame, spec: Entity, present: DataFrame | None = None, feeds: list[str] | None = None
+) -> DataFrame:
+    """_sk, t, f and ``action`` of every key of either side, from one full join.
 
-    ``present`` (snapshot_diff): keys that the snapshot holds in any state, rejected ones too; default the batch.
+    snapshot_diff: ``present`` are the keys that the snapshot holds in any state, rejected ones too (default the batch); ``feeds`` are the
+    sources that it speaks for (default those of ``present``).
     """
-    df = _met(target, batch)
     new, known = F.col("t").isNull() & F.col("f").isNotNull(), F.col("t").isNotNull() & F.col("f").isNotNull()
+    right = _side(batch, "f")
     if spec.strategy == "append":
         action = F.when(new, "inserted").when(known, "already_present")
     elif spec.strategy == "upsert_by_version":
@@ -59,9 +54,13 @@ def classify(target: DataFrame, batch: DataFrame, spec: Entity, present: DataFra
             .when(known, "updated")
         )
     elif spec.strategy == "snapshot_diff":
-        seen = (batch if present is None else present).select("_sk", "_src").distinct()
-        feeds = [r._src for r in seen.select("_src").distinct().collect()]  # one per source of the batch
-        df = df.join(seen.select("_sk", F.lit(True).alias("_seen")), "_sk", "left")
+        keys = batch if present is None else present
+        if feeds is None:
+            feeds = [r._src for r in keys.select("_src").distinct().collect()]  # one per source of the batch
+        # keys of the snapshot without a row of the batch; grouped by what the join needs, so they are not shuffled twice
+        kind = right.schema["f"].dataType
+        marks = keys.select("_sk", F.lit(None).cast(kind).alias("f"))
+        right = right.unionByName(marks).groupBy("_sk").agg(F.first("f", ignorenulls=True).alias("f"), F.lit(True).alias("_seen"))
         absent = F.col("f").isNull() & F.col("_seen").isNull() & F.col("t._src").isin(*feeds) & ~F.col("t._is_deleted")
         action = (
             F.when(new, "inserted")
@@ -72,21 +71,23 @@ def classify(target: DataFrame, batch: DataFrame, spec: Entity, present: DataFra
         )
     else:
         raise ValueError(f"{spec.strategy} does not merge by key")
-    return df.withColumn("action", F.coalesce(action, F.lit("untouched")))
+    df = _side(target, "t").join(right, "_sk", "full")
+    return df.withColumn("action", F.coalesce(action, F.lit("untouched"))).where("t is not null or f is not null")
 
 
-def apply(target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame | None = None) -> DataFrame:
-    """The table after the batch.
+def staged(
+    target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame | None = None, feeds: list[str] | None = None
+) -> DataFrame:
+    """The table after the batch, with ``_action``: how each row got there.
 
     ``touched``: for partition_replace all outcome rows of the batch (their partitions are replaced even if nothing
     survived), for snapshot_diff the keys present.
     """
     batch = batch.select(*target.columns)
     if spec.strategy == "partition_replace":
-        return _partition_filter(target, batch if touched is None else touched, spec).unionByName(batch)
-    if spec.strategy == "append":
-        return target.unionByName(batch.join(target.select("_sk"), "_sk", "left_anti").select(*target.columns))
-    df = classify(target, batch, spec, touched)
+        kept = _partition_filter(target, batch if touched is None else touched, spec)
+        return kept.withColumn("_action", F.lit("untouched")).unionByName(batch.withColumn("_action", F.lit("inserted")))
+    df = classify(target, batch, spec, touched, feeds)
     taken = F.col("action").isin("inserted", "updated", "reactivated")
     df = df.where(~(F.col("t").isNull() & (F.col("action") == "stale")))
     row = F.when(taken, F.col("f")).otherwise(F.col("t"))
@@ -99,7 +100,21 @@ def apply(target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame
             # a delete keeps the last values but moves the sequence on
             value = F.when(F.col("action") == "deleted", F.col(f"f.{c}")).otherwise(value)
         out.append(value.alias(c))
-    return df.select(*out)
+    return df.select(*out, F.col("action").alias("_action"))
+
+
+def apply(
+    target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame | None = None, feeds: list[str] | None = None
+) -> DataFrame:
+    """The table after the batch."""
+    return staged(target, batch, spec, touched, feeds).drop("_action")
+
+
+def ignored_deletes(target: DataFrame, batch: DataFrame, spec: Entity) -> int:
+    """Deletes of keys that the table does not have; they leave no row behind."""
+    if spec.strategy != "cdc_apply":
+        return 0
+    return batch.where("_is_deleted").join(target.select("_sk"), "_sk", "left_anti").count()
 
 
 def terms(target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame | None = None) -> DataFrame:
@@ -120,5 +135,6 @@ def withdraw(target: DataFrame, outcome: DataFrame, batch: DataFrame, spec: Enti
     version = [F.col(spec.version).alias("_v")] if spec.version else [F.lit(None).alias("_v")]
     hit = target.join(rejected.select("_sk", *version, F.lit(True).alias("_w")), "_sk", "left")
     older = F.lit(True) if not spec.version else F.coalesce(F.col("_v") >= F.col(spec.version), F.lit(True))
-    gone = F.coalesce(F.col("_w") & older, F.lit(False))
-    return hit.select(*[(F.col(c) | gone).alias(c) if c == "_is_deleted" else F.col(c) for c in target.columns])
+    gone = F.coalesce(F.col("_w") & older & ~F.col("_is_deleted"), F.lit(False))
+    out = [(F.col(c) | gone).alias(c) if c == "_is_deleted" else F.col(c) for c in target.columns]
+    return hit.select(*out, *([gone.alias("_withdrawn")] if "_action" in target.columns else []))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import casts, keys
-from ..functions.fragments import holds
+from ..functions.fragments import column, holds
 from ..plans.specs import Entity, Field
 
+#: Classes of fields whose raw values may leave in dead letters.
+OPEN = ("open", "public", "internal")
 PROVENANCE = ["_src", "_batch_id", "_batch_version", "_source_file", "_row_number"]
 
 
@@ -34,8 +36,22 @@ def latest_versions(df: DataFrame) -> DataFrame:
     return df.join(newest, ["_batch_id", "_batch_version"])
 
 
+def _split_columns(spec: Entity) -> list[str]:
+    return sorted({col for f in spec.fields for _, col, _ in f.structural_in if col})
+
+
 def _structural(f: Field) -> Column:
-    return holds(f.structural) if f.structural else F.lit(False)
+    """Whether NULL is expected: by the field's predicate, by its source, or by its source and the value of a split column."""
+    cases = [holds(f.structural)] if f.structural else []
+    for source, col, value in f.structural_in:
+        here = F.col("_src") == source
+        cases.append(here if col is None else here & F.coalesce(F.col(f"_split__{col}") == value, F.lit(False)))
+    return reduce(lambda a, b: a | b, cases, F.lit(False))
+
+
+def _is_text(rows: DataFrame, value: Column) -> bool:
+    """What an expression gives, from its analysis."""
+    return rows.select(value.alias("x")).dtypes[0][1] == "string"
 
 
 def typed(rows: DataFrame, spec: Entity) -> DataFrame:
@@ -43,8 +59,8 @@ def typed(rows: DataFrame, spec: Entity) -> DataFrame:
     kinds = dict(rows.dtypes)
     out: list[Column] = [F.col(c) for c in PROVENANCE if c in rows.columns]
     for f in spec.fields:
-        raw = F.expr(f.expression) if f.expression else F.lit(None).cast("string")
-        is_text = f.expression is None or kinds.get(f.expression, "string") == "string"
+        raw = column(f.expression, rows.columns) if f.expression else F.lit(None).cast("string")
+        is_text = f.expression is None or kinds.get(f.expression) == "string" or f.expression not in kinds and _is_text(rows, raw)
         value = casts.typed(raw, f.type, list(f.formats), is_text, trim=f.key)
         if f.zone and f.spark_type == "timestamp_ntz":
             value = casts.shift_zone(value, f.zone, spec.reporting_zone)
@@ -54,8 +70,9 @@ def typed(rows: DataFrame, spec: Entity) -> DataFrame:
         if f.allowed:
             bad = raw.isNotNull() & ~F.trim(raw.cast("string")).isin(*f.allowed)
             out.append(F.coalesce(bad, F.lit(False)).alias(f"_dom__{f.name}"))
+    out += [F.col(f"`{c}`").cast("string").alias(f"_split__{c}") for c in _split_columns(spec)]
     if spec.op:
-        out.append(F.expr(spec.op).cast("string").alias("_op"))
+        out.append(F.trim(column(spec.op, rows.columns).cast("string")).alias("_op"))
     df = rows.select(*out)
     masked = any(f.mask != "keep" for f in spec.keys)
     ok = reduce(lambda a, b: a & b, [F.col(f.name).isNotNull() for f in spec.keys])
@@ -171,7 +188,7 @@ def finished(rows: DataFrame, spec: Entity, loaded_at: str | None = None) -> Dat
         if f.null_policy == "impute":
             gap = F.col(f.name).isNull() & ~_structural(f) & ~F.col("_is_del")
             df = df.withColumn(f"is_{f.name}_imputed", gap)
-            df = df.withColumn(f.name, F.when(F.col(f"is_{f.name}_imputed"), F.expr(f.impute).cast(f.spark_type)).otherwise(F.col(f.name)))
+            df = df.withColumn(f.name, F.when(F.col(f"is_{f.name}_imputed"), column(f.impute, []).cast(f.spark_type)).otherwise(F.col(f.name)))
     flags = [holds(p).alias(n) for n, p in spec.flags]
     shown = [(keys.mask(F.col(f.name), spec.salt) if f.mask == "hash" else F.col(f.name)).alias(f.name) for f in spec.published]
     imputed = [F.col(f"is_{f.name}_imputed") for f in spec.fields if f.null_policy == "impute"]
@@ -184,11 +201,15 @@ def finished(rows: DataFrame, spec: Entity, loaded_at: str | None = None) -> Dat
 
 
 def dead_letters(rows: DataFrame, spec: Entity, hidden: set[str] | None = None) -> DataFrame:
-    """Rejected rows in one fixed shape, raw values as JSON."""
+    """Rejected rows in one fixed shape, raw values as JSON.
+
+    Values of masked fields and of all fields that are not classified as open are hashed.
+    """
     raw = {f.name: F.col(f"_raw__{f.name}") for f in spec.fields}
-    body = keys.raw_json(raw, hidden or {f.name for f in spec.fields if f.mask != "keep"}, spec.salt)
+    closed = {f.name for f in spec.fields if f.mask != "keep" or f.classification not in OPEN}
+    body = keys.raw_json(raw, closed if hidden is None else hidden, spec.salt)
     return rows.where(F.col("_outcome") == "dead_letter").select(
-        F.lit(spec.name).alias("entity"), *PROVENANCE, "_sk", F.col("_dl_reason").alias("reason"), body.alias("raw_row")
+        F.lit(spec.name).alias("entity"), *PROVENANCE, "_sk", F.col("_dl_reason").alias("reason"), F.col("_anomaly").alias("anomaly"), body.alias("raw_row")
     )
 
 
@@ -206,14 +227,14 @@ def counters(rows: DataFrame) -> DataFrame:
         n(F.col("_anomaly").isNotNull() & (o == "survivor")).alias("anomalies_kept"),
         n(F.col("_anomaly").isNotNull() & F.col("_hard").isNotNull()).alias("conflicts"),
         n(F.col("_is_del")).alias("deletes"),
+        n((o == "survivor") & F.col("_reason").startswith("cast_")).alias("cast_losses"),
     )
 
 
 def ties(rows: DataFrame, spec: Entity) -> DataFrame:
-    """Keys whose good rows differ in content though the declared tiebreakers do not tell them apart."""
+    """Keys whose rows differ in content though the declared tiebreakers do not tell them apart."""
     order = [c for c, _ in spec.tiebreakers]
-    good = rows.where("_key_ok AND _reason IS NULL")
-    return good.groupBy("_sk", *order).agg(F.countDistinct("_content").alias("contents")).where("contents > 1")
+    return rows.where("_key_ok").groupBy("_sk", *order).agg(F.countDistinct("_content").alias("contents")).where("contents > 1")
 
 
 def reason_histogram(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casts, keys
+from ..functions import casts, fragments, keys
 from ..operators import gold, merge, profile, silver
 from .specs import Card, Entity, Field, Lookup, Measure
 
@@ -97,13 +97,22 @@ def _(spark, d):
 @query(
     "date_ambiguity",
     f"""WITH t AS (SELECT o_orderkey, {_DATE_SQL} AS raw FROM orders) SELECT o_orderkey, len(list_distinct([TRY_STRPTIME(raw, '%Y-%m-%d'),
-    TRY_STRPTIME(raw, '%d/%m/%Y'), TRY_STRPTIME(raw, '%b %d %Y'), TRY_STRPTIME(raw, '%Y-%d-%m'), TRY_STRPTIME(raw, '%m/%d/%Y'),
-    TRY_STRPTIME(raw, '%b %d %Y')])) > 1 AS ambiguous FROM t""",
+    TRY_STRPTIME(raw, '%d/%m/%Y'), TRY_STRPTIME(raw, '%b %d %Y'), TRY_STRPTIME(raw, '%m/%d/%Y')])) > 1 AS ambiguous FROM t""",
 )
 def _(spark, d):
     return read(spark, d, "orders").select("o_orderkey", casts.ambiguous(_date_text(), _DATES).alias("ambiguous"))
 
 
+@query(
+    "iso_dates_unambiguous",
+    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_day, FALSE AS ambiguous FROM orders",
+)
+def _(spark, d):
+    raw = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day, twins = casts.parse_time(raw, ["%Y-%m-%d"]).cast("date"), casts.ambiguous(raw, ["%Y-%m-%d", "%Y/%m/%d"])
+    return read(spark, d, "orders").select("o_orderkey", day.alias("order_day"), twins.alias("ambiguous"))
+
+
 @query("timezone_shift", "SELECT event_id, timezone('UTC', timezone('America/New_York', ts)) AS utc FROM events")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", casts.shift_zone(F.col("ts"), "America/New_York", "UTC").alias("utc"))
@@ -147,7 +156,7 @@ def _(spark, d):
 ORDERS = Entity(
     "orders",
     (
-        Field("order_id", "BIGINT", "o_orderkey", key=True),
+        Field("order_id", "BIGINT", "o_orderkey", key=True, classification="open"),
         Field("customer_id", "BIGINT", "o_custkey"),
         Field("status", "VARCHAR", "o_orderstatus", allowed=("F", "O")),
         Field("total", "DECIMAL(18,2)", "total", null_policy="drop"),
@@ -198,7 +207,7 @@ def _(spark, d):
     f"""SELECT COUNT(*) AS rows_in, COUNT(*) FILTER (WHERE reason IS NULL) AS survivors, CAST(0 AS BIGINT) AS duplicates,
     COUNT(*) FILTER (WHERE reason IS NOT NULL) AS dead_letters, CAST(0 AS BIGINT) AS bad_keys,
     COUNT(*) FILTER (WHERE huge) AS anomalies, COUNT(*) FILTER (WHERE huge AND reason IS NULL) AS anomalies_kept,
-    CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS deletes
+    CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS deletes, CAST(0 AS BIGINT) AS cast_losses
     FROM (SELECT *, o_orderkey % 11 <> 0 AND CAST(o_totalprice AS DECIMAL(18,2)) > 400000 AS huge FROM ({_JUDGED_SQL}))""",
 )
 def _(spark, d):
@@ -240,6 +249,42 @@ def _(spark, d):
     return done.agg(F.count("*").alias("n"))
 
 
+# ---- fragments --------------------------------------------------------------------------------------------------
+
+#: Group to (table, key, fragments); the check runs the fragments as they are written.
+_FRAGMENTS = {
+    "operators": ("orders", "o_orderkey", {
+        "power": "(o_orderkey % 7) ^ 3", "divide": "o_custkey / (o_orderkey % 5 + 1)", "whole": "-o_custkey // 7", "rest": "-o_orderkey % 5",
+        "joined": "o_orderstatus || '/' || o_orderpriority", "alike": "o_orderpriority ~~* '%urg%'", "unlike": "o_orderpriority NOT LIKE '_-%!_%' ESCAPE '!'",
+    }),
+    "math": ("orders", "o_orderkey", {
+        "rounded": "round(CAST(o_totalprice AS DECIMAL(18,2)), 1)", "log_10": "round(log(o_orderkey + 1), 6)", "natural": "round(ln(o_orderkey + 1), 6)",
+        "root": "round(sqrt(o_custkey), 6)", "raised": "pow(o_orderkey % 10, 2)", "signed": "sign(o_custkey - 100)", "most": "greatest(o_orderkey, o_custkey, NULL)",
+        "endless": "isinf(o_totalprice)", "modulo": "mod(o_orderkey, 6)",
+    }),
+    "null": ("events", "event_id", {"one": "coalesce(NULL, event_type)", "two": "nullif(event_type, 'view')", "three": "ifnull(nullif(user_id, 1), 0)"}),
+    "string": ("customer", "c_custkey", {
+        "glued": "concat(c_name, NULL, '-', c_custkey)", "first_hit": "regexp_replace(c_name, '([0-9])0*', '<\\1>')", "all_hits": "regexp_replace(c_name, '0', 'o', 'g')",
+        "found": "regexp_extract(c_name, '[1-9][0-9]*')", "part": "split_part(c_name, '#', 2)", "padded": "lpad(c_mktsegment, 4, '*')", "cut": "substr(c_mktsegment, 0, 3)",
+        "ends": "ends_with(c_mktsegment, 'Y')", "place": "strpos(c_name, '#')", "less": "left(c_mktsegment, -2)", "bytes": "strlen(c_name)", "digest": "md5(c_name)",
+    }),
+    "date": ("orders", "o_orderkey", {
+        "weekday": "dayofweek(o_orderdate)", "iso": "extract(isodow FROM o_orderdate)", "week_start": "CAST(date_trunc('week', o_orderdate) AS DATE)",
+        "months": "date_diff('month', o_orderdate, TIMESTAMP '2000-02-29 00:00:00')", "whole_years": "date_sub('year', o_orderdate, TIMESTAMP '2000-02-29 00:00:00')",
+        "shown": "strftime(o_orderdate, '%d.%m.%Y')", "back": "CAST(try_strptime(strftime(o_orderdate, '%Y/%m/%d'), '%Y/%m/%d') AS DATE)",
+        "later": "CAST(date_add(o_orderdate, INTERVAL 1 MONTH) AS DATE)", "seconds": "epoch(o_orderdate)", "month_end": "last_day(o_orderdate)",
+    }),
+    "list": ("orders", "o_orderkey", {"among": "list_contains(['F', 'P'], o_orderstatus)", "has": "list_has(list_value(1, 2, 3), o_orderkey % 5)", "size": "len([o_orderkey, 1])"}),
+}
+
+for _group, (_table, _key, _texts) in _FRAGMENTS.items():
+
+    @query(f"fragment_{_group}", f"SELECT {_key}, " + ", ".join(f"{x} AS {n}" for n, x in _texts.items()) + f" FROM {_table}")
+    def _(spark, d, table=_table, key=_key, texts=_texts):
+        rows = read(spark, d, table)
+        return rows.select(key, *[fragments.column(x, rows.columns).alias(n) for n, x in texts.items()])
+
+
 # ---- joins ----------------------------------------------------------------------------------------------------
 
 
@@ -306,11 +351,11 @@ _EVENT = Entity(
 )
 _RANKED_SQL = """SELECT user_id, event_id, good, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank_all,
     ROW_NUMBER() OVER (PARTITION BY user_id, good ORDER BY ts DESC, event_id DESC) AS rank_good
-    FROM (SELECT *, CAST(value AS DECIMAL(18,2)) >= 20 AS good FROM events WHERE user_id IS NOT NULL)"""
+    FROM (SELECT *, CAST(value AS DECIMAL(18,2)) >= 20 AS good FROM events) WHERE user_id IS NOT NULL"""
 
 
 def _events_built(spark, d, spec):
-    rows = read(spark, d, "events").select("user_id", "event_id", "ts", money("value").alias("value")).where("user_id IS NOT NULL")
+    rows = read(spark, d, "events").select("user_id", "event_id", "ts", money("value").alias("value"))
     return silver.build(silver.with_provenance(rows, "events", order=["event_id"]), spec)
 
 
@@ -328,11 +373,11 @@ def _(spark, d):
 @query(
     "latest_version",
     """SELECT event_id, _batch_id, _batch_version FROM (SELECT event_id, CAST(user_id % 7 AS VARCHAR) AS _batch_id,
-    CAST(event_id % 3 + user_id % 2 AS INTEGER) AS _batch_version FROM events WHERE user_id IS NOT NULL)
+    CAST(event_id % 3 + user_id % 2 AS INTEGER) AS _batch_version FROM events)
     QUALIFY _batch_version = MAX(_batch_version) OVER (PARTITION BY _batch_id)""",
 )
 def _(spark, d):
-    rows = read(spark, d, "events").where("user_id IS NOT NULL").select(
+    rows = read(spark, d, "events").select(
         "event_id",
         (F.col("user_id") % 7).cast("string").alias("_batch_id"),
         (F.col("event_id") % 3 + F.col("user_id") % 2).cast("int").alias("_batch_version"),
@@ -615,13 +660,30 @@ for _size, _expr in (
 
 @query(
     "gold_inclusion_list",
-    f"SELECT status, {_sum('SUM(total)')} AS revenue FROM {_SALES} WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY ALL",
+    f"""SELECT status, {_sum("SUM(total)")} AS revenue, COUNT(*) FILTER (WHERE priority = '1-URGENT' AND segment IN ('BUILDING', 'MACHINERY')) AS urgent__num,
+    COUNT(*) FILTER (WHERE segment IN ('BUILDING', 'MACHINERY')) AS urgent__den,
+    CAST(ROUND(100.0 * COUNT(*) FILTER (WHERE priority = '1-URGENT' AND segment IN ('BUILDING', 'MACHINERY'))
+      / NULLIF(COUNT(*) FILTER (WHERE segment IN ('BUILDING', 'MACHINERY')), 0), 2) AS DOUBLE) AS urgent FROM {_SALES} GROUP BY ALL""",
 )
 def _(spark, d):
-    card = _card(Measure("revenue", "sum", "total"), grain=("status",), include=(("segment", ("BUILDING", "MACHINERY")),))
+    # the list binds the ratio's population, not the sum beside it
+    urgent = Measure("urgent", "ratio", where="priority = '1-URGENT'", scale=100)
+    card = _card(Measure("revenue", "sum", "total"), urgent, grain=("status",), include=(("segment", ("BUILDING", "MACHINERY")),))
     return gold.table(_sales(spark, d), card).withColumn("revenue", F.col("revenue").cast("decimal(28,2)"))
 
 
+@query(
+    "gold_average_population",
+    f"""SELECT customer_id, {_sum("SUM(total) FILTER (WHERE total > 300000)")} AS basket__num, COUNT(total) FILTER (WHERE total > 300000) AS basket__den,
+    CAST(ROUND(CAST(SUM(total) FILTER (WHERE total > 300000) AS DOUBLE) / NULLIF(COUNT(total) FILTER (WHERE total > 300000), 0), 2) AS DOUBLE) AS basket
+    FROM {_SALES} WHERE status = 'F' GROUP BY customer_id""",
+)
+def _(spark, d):
+    # a customer with orders that pass the card's filters stays, with a blank where none passes the average's own
+    card = _card(Measure("basket", "average", "total", where="total > 300000"), grain=("customer_id",), filters="status = 'F'")
+    return gold.table(_sales(spark, d), card).withColumn("basket__num", F.col("basket__num").cast("decimal(28,2)"))
+
+
 # ---- proofs ---------------------------------------------------------------------------------------------------
 
 
@@ -673,9 +735,12 @@ def _profile_sql(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(one.format(c, table) for c in columns)
 
 
-@query("profile_columns", _profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query("profile_columns", _profile_sql("(SELECT * REPLACE (CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal) FROM customer)", _CUSTOMER))
 def _(spark, d):
-    return profile.columns(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return profile.columns(read(spark, d, "customer").withColumn("c_acctbal", money("c_acctbal")))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ..functions.types import kind, spark_type
 
@@ -14,7 +14,8 @@ class Field:
     """A column of an entity.
 
     ``source`` is an expression over the source's columns (None: never supplied); ``null_policy`` is keep, drop or
-    impute; ``structural`` is a predicate under which NULL is expected; ``mask`` is keep, hash or drop.
+    impute; ``structural`` is a predicate under which NULL is expected, ``structural_in`` are (source, column, value) where it is (column None:
+    in the whole source); ``mask`` is keep, hash or drop; ``classification`` says whether raw values may be shown (open, public, internal).
     """
 
     name: str
@@ -26,9 +27,11 @@ class Field:
     null_policy: str = "keep"
     impute: str | None = None
     structural: str | None = None
+    structural_in: tuple[tuple[str, str | None, str | None], ...] = ()
     allowed: tuple[str, ...] = ()
     ambiguous: str = "prefer_first"
     mask: str = "keep"
+    classification: str = ""
 
     @property
     def expression(self) -> str | None:
@@ -66,6 +69,8 @@ class Entity:
     ops: tuple[tuple[str, str], ...] = (("I", "upsert"), ("U", "upsert"), ("D", "delete"))
     reporting_zone: str = "UTC"
     salt: str = ""
+    #: Percent of a batch's rows that may be rejected.
+    tolerance: float = 100.0
 
     @property
     def keys(self) -> list[Field]:
@@ -104,12 +109,37 @@ class Entity:
                 found.append(f"{f.name}: a key cannot be imputed")
             if kind(f.type) in ("date", "timestamp") and f.source and not f.formats:
                 found.append(f"{f.name}: no date format")
+            if f.ambiguous not in ("prefer_first", "reject"):
+                found.append(f"{f.name}: ambiguous dates {f.ambiguous}")
+            if f.mask not in ("keep", "hash", "drop"):
+                found.append(f"{f.name}: mask {f.mask}")
+            if f.mask == "hash" and not self.salt:
+                found.append(f"{f.name}: a hash mask needs a salt")
+        published = {f.name for f in self.published}
+        found += [f"{c} is part of a partition and not published" for c in self.partition if c not in published]
+        if self.version in names and self.version not in published:
+            found.append("the version column is not published")
+        if self.strategy != "cdc_apply" and self.op is not None:
+            found.append("an operation column without cdc_apply")
+        for lk in self.lookups:
+            if lk.missing not in ("keep_null", "reject"):
+                found.append(f"lookup {lk.name}: missing {lk.missing}")
+            found += [f"lookup {lk.name}: {a} is no column" for a, _ in lk.on if a not in names]
+        if self.accept not in ("keep_last_good", "reject_key"):
+            found.append(f"accept {self.accept}")
+        if not 0 <= self.tolerance <= 100:
+            found.append("tolerance is no percentage")
         return found
 
 
 @dataclass(frozen=True)
 class Measure:
-    """kind: sum, count, distinct, ratio or average; ``column`` where it needs one."""
+    """kind: sum, count, distinct, ratio or average; ``column`` where it needs one.
+
+    Proofs: values lie in ``low`` to ``high``; ``golden`` are (key columns and texts, value or None) computed by hand; per grain key the
+    measure (a ratio's denominator) and what ``excluded_by`` leaves out add up to the ``control`` (count, sum:c or distinct:c);
+    at most ``max_excluded`` percent of the rows are left out.
+    """
 
     name: str
     kind: str
@@ -121,10 +151,24 @@ class Measure:
     scale: int = 1
     precision: int = 2
     zero: str = "null"
+    low: float | None = None
+    high: float | None = None
+    golden: tuple[tuple[tuple[tuple[str, str], ...], float | None], ...] = ()
+    control: str | None = None
+    excluded_by: str | None = None
+    max_excluded: float = 100.0
+    additivity: str = "additive"
+    unit: str = ""
+
+    @property
+    def divided(self) -> bool:
+        return self.kind in ("ratio", "average")
 
 
 @dataclass(frozen=True)
 class Card:
+    """``include`` and ``exclude`` name the values in and out of a ratio's population, column by column."""
+
     table: str
     measures: tuple[Measure, ...]
     grain: tuple[str, ...] = ()
@@ -132,7 +176,29 @@ class Card:
     bucket: str = "day"
     filters: str = "TRUE"
     include: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    proofs: dict = field(default_factory=dict, hash=False)
+    exclude: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def problems(self) -> list[str]:
+        """What makes the declaration meaningless, in words; empty if nothing does."""
+        found = []
+        if len({m.name for m in self.measures}) < len(self.measures):
+            found.append("a measure is declared twice")
+        if not self.grain and not self.time:
+            found.append("no grain")
+        for m in self.measures:
+            if m.kind not in ("sum", "count", "distinct", "ratio", "average"):
+                found.append(f"{m.name}: unknown kind {m.kind}")
+            if m.kind in ("sum", "distinct", "average") and m.column is None:
+                found.append(f"{m.name}: {m.kind} needs a column")
+            if m.zero not in ("null", "zero", "omit"):
+                found.append(f"{m.name}: zero denominator {m.zero}")
+            if m.additivity not in ("additive", "semi_additive", "non_additive"):
+                found.append(f"{m.name}: additivity {m.additivity}")
+            if m.kind == "distinct" and m.additivity == "additive":
+                found.append(f"{m.name}: distinct counts do not add up")
+            if m.low is not None and m.high is not None and m.low > m.high:
+                found.append(f"{m.name}: empty range")
+        return found
 
 
 def load_yaml(text: str) -> dict:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import checks, gold, merge, silver
+from millrace.operators.checks import Proof
 from millrace.operators.synthetic import plant, score
 from millrace.plans.specs import Card, Entity, Field, Lookup, Measure, load_yaml
 
@@ -73,11 +74,13 @@ def run(spark, spec, batches, schema):
         done = silver.finished(b, spec)
         if target is None:
             target = spark.createDataFrame([], done.schema)
-        after = merge.apply(target, done, spec)
-        terms = merge.terms(target, done, spec)
-        r = checks.batch_checks(b, done, target, after, terms, spec)
-        assert not r.failed, r.failed
-        log.append({x.action: x.n for x in terms.collect()})
+        after = merge.staged(target, done, spec)
+        count, ties, ignored = silver.counters(b).first(), silver.ties(b, spec).count(), merge.ignored_deletes(target, done, spec)
+        proofs, terms = checks.batch_proofs(spec, len(rows), count, done, target.count(), None, after, ignored, ties, count.dead_letters)
+        checks.demand(proofs)
+        assert {x.action: x.n for x in merge.terms(target, done, spec).collect() if x.n} == terms
+        log.append(terms)
+        after = after.drop("_action")
         target = spark.createDataFrame(after.collect(), after.schema)
     return target, log
 
@@ -98,7 +101,7 @@ def test_cdc(spark):
     spec = Entity("cust", (Field("id", key=True), Field("seq", "INTEGER"), Field("name")), strategy="cdc_apply", version="seq", op="op")
     batches = [
         ("b1", [("A", "I", "1", "Ann"), ("B", "I", "2", "Bob")]),
-        ("b2", [("A", "U", "3", "Annie"), ("B", "D", "4", None)]),
+        ("b2", [("A", " U ", "3", "Annie"), ("B", "D", "4", None), ("Z", "D", "9", None)]),
         ("b0", [("B", "U", "3", "Bobby")]),
     ]
     t, _ = run(spark, spec, batches, "id string, op string, seq string, name string")
@@ -159,7 +162,38 @@ def test_cards(spark):
         gold.bucket(F.col("x"), "decade")
 
 
-def test_vacuous_checks_fail():
-    r = checks.Results()
-    r.add("x", 0, 0)
-    assert r.failed
+def test_vacuous_proofs_fail():
+    assert not Proof("x", 0, 0).holds and Proof("x", 1, 0).holds
+    with pytest.raises(checks.CheckFailed):
+        checks.demand([Proof("x", 0, 0)])
+    assert checks.demand([Proof("x", 0, 0, fatal=False)])
+
+
+def test_structural_nulls_by_source_and_value(spark):
+    spec = Entity(
+        "e",
+        (Field("id", key=True), Field("part"), Field("fee", "DECIMAL(10,2)", null_policy="drop", structural_in=(("green", None, None), ("yellow", "part", "p")))),
+    )
+    df = spark.createDataFrame([("1", "p", None), ("2", "q", None), ("3", "q", "1")], "id string, part string, fee string")
+    for source, want in (("green", {"1", "2", "3"}), ("yellow", {"1", "3"}), ("blue", {"3"})):
+        b = silver.build(silver.with_provenance(df, source, order=["id"]), spec)
+        assert {r.id for r in silver.finished(b, spec).collect()} == want
+
+
+def test_raw_values_leave_only_where_they_may(spark):
+    spec = Entity("e", (Field("id", key=True, classification="open"), Field("mail"), Field("n", "INTEGER", classification="pii")), salt="s")
+    df = silver.with_provenance(spark.createDataFrame([("1", "a@b.c", "x")], "id string, mail string, n string"), "s", order=["id"])
+    raw = silver.dead_letters(silver.build(df, spec), spec).first().raw_row
+    assert '"id":"1"' in raw and "a@b.c" not in raw and '"n":"x"' not in raw
+
+
+def test_populations(spark):
+    df = spark.createDataFrame([("a", 10, "y"), ("a", 30, "n"), ("b", 5, "n"), ("c", 1, "z")], "g string, v int, ok string")
+    card = Card("t", (Measure("avg", "average", "v", where="ok = 'y'"),), grain=("g",), filters="ok <> 'z'")
+    assert {(r.g, r.avg) for r in gold.table(df, card).collect()} == {("a", 10.0), ("b", None)}
+    card = Card("t", (Measure("n", "count"), Measure("r", "ratio", where="v > 9")), grain=("g",), include=(("ok", ("y",)),))
+    assert {(r.g, r.n, r.r__num, r.r__den) for r in gold.table(df, card).collect()} == {("a", 2, 1, 1), ("b", 1, 0, 0), ("c", 1, 0, 0)}
+    dated = spark.createDataFrame([("2024-01-01", "x", 5), ("2024-01-02", "x", 3), ("2024-01-02", "y", 4)], "period string, k string, n int")
+    assert {(r.k, r.n) for r in gold.chart(dated, "k", "n", additivity="semi_additive").collect()} == {("x", 3), ("y", 4)}
+    assert {r.period: (r.x, r.y) for r in gold.chart(dated, "period", "n", "k", additivity="semi_additive").collect()} == {"2024-01-01": (5, None), "2024-01-02": (3, 4)}
+    assert tuple(gold.date_bounds([dated, dated.drop("period")]).first()) == ("2024-01-01", "2024-01-02")
