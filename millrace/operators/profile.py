@@ -17,8 +17,11 @@ def _long(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def columns(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column: nulls, empty strings, distinct values, shortest and longest text."""
+def columns(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Per column: nulls, empty strings, distinct values, shortest and longest text.
+
+    Distinct values are estimated in the same pass; ``exact`` ones cost a copy of the table's rows for every column.
+    """
     count = F.countDistinct if exact else F.approx_count_distinct
     measures = []
     for c in df.columns:
@@ -46,13 +49,14 @@ def castable(df: DataFrame, column: str, declared: str) -> DataFrame:
     return df.agg(F.min(value).alias("lowest"), F.max(value).alias("highest"), F.sum(lost.cast("long")).alias("not_castable"))
 
 
-def structural_nulls(df: DataFrame, split: str, least_rows: int = 20, share: float = 0.999) -> DataFrame:
-    """(value, column_name) where a column is (nearly) always NULL for one value of ``split``."""
+def structural_nulls(df: DataFrame, split: str | None = None, least_rows: int = 20, share: float = 0.999) -> DataFrame:
+    """(split_value, n, column_name, nulls) where a column is (nearly) always NULL for one value of ``split``, or without one in the whole table."""
     others = [c for c in df.columns if c != split]
-    by = df.groupBy(F.col(split).cast("string").alias("split_value")).agg(
-        F.count("*").alias("n"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in others]
+    value = F.lit(None).cast("string") if split is None else F.col(f"`{split}`").cast("string")
+    by = df.groupBy(value.alias("split_value")).agg(
+        F.count("*").alias("n"), *[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in others]
     )
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in others])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("nulls")) for c in others])
     long = by.where(F.col("n") >= least_rows).select("split_value", "n", F.explode(rows).alias("r"))
     return long.select("split_value", "n", "r.*").where(F.col("nulls") >= share * F.col("n"))
 
@@ -71,14 +75,20 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct().agg(F.count("*").alias("n"))
 
 
-def key_candidates(df: DataFrame, most: int = 8) -> DataFrame:
-    """(columns, rows, distinct_keys, empty_keys) of single columns and pairs of the first ``most`` columns, in one pass."""
-    names = df.columns[:most]
-    sets = [[c] for c in names] + [list(p) for p in combinations(names, 2)]
+def _empty(df: DataFrame, names: list[str]):
+    """Whether any of the columns is NULL or a blank text."""
+    kinds, some = dict(df.dtypes), F.lit(False)
+    for c in names:
+        col = F.col(f"`{c}`")
+        some |= col.isNull() | (F.trim(col) == "" if kinds[c] == "string" else F.lit(False))
+    return F.coalesce(some, F.lit(True))
+
+
+def key_check(df: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """(columns, rows, distinct_keys, empty_keys) of the given sets of columns, exactly and in one pass."""
     measures = [F.count("*").alias("rows")]
     for k, s in enumerate(sets):
-        some_null = F.greatest(*[F.col(c).isNull() for c in s]) if len(s) > 1 else F.col(s[0]).isNull()
-        measures += [F.countDistinct(F.struct(*s)).alias(f"d{k}"), F.sum(some_null.cast("long")).alias(f"e{k}")]
+        measures += [F.countDistinct(F.struct(*[f"`{c}`" for c in s])).alias(f"d{k}"), F.count_if(_empty(df, s)).alias(f"e{k}")]
     rows = F.array(
         *[
             F.struct(F.lit(",".join(s)).alias("columns"), F.col("rows"), F.col(f"d{k}").alias("distinct_keys"), F.col(f"e{k}").alias("empty_keys"))
@@ -88,24 +98,75 @@ def key_candidates(df: DataFrame, most: int = 8) -> DataFrame:
     return df.agg(*measures).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def key_candidates(df: DataFrame, pairs_of: int = 12, rsd: float = 0.02) -> DataFrame:
+    """(columns, rows) of every single column and pair that is a key: no value twice, none empty.
+
+    One pass estimates the distinct values of all columns and of the pairs of the ``pairs_of`` columns with most of them; only sets
+    that may be keys by that are counted exactly.  A pair that holds a key of one column is not listed.
+    """
+    estimate = lambda s: F.approx_count_distinct(F.struct(*[f"`{c}`" for c in s]), rsd)
+    singles = [[c] for c in df.columns]
+    first = df.agg(F.count("*"), *[estimate(s) for s in singles], *[F.count_if(_empty(df, s)) for s in singles]).first()
+    rows, n = first[0], len(singles)
+    guess, empty = dict(zip(df.columns, first[1 : n + 1])), dict(zip(df.columns, first[n + 1 :]))
+    least = rows * (1 - 5 * rsd)
+    able = [c for c in df.columns if not empty[c]]
+    sets = [[c] for c in able if guess[c] >= least]
+    wide = sorted(able, key=lambda c: (-guess[c], c))[:pairs_of]
+    pairs = [[a, b] for a, b in combinations([c for c in df.columns if c in wide], 2) if guess[a] * guess[b] >= least]
+    if pairs:
+        seen = df.agg(*[estimate(p) for p in pairs]).first()
+        sets += [p for p, g in zip(pairs, seen) if g >= least]
+    if not rows or not sets:
+        return df.sparkSession.createDataFrame([], "columns string, rows long")
+    keys = [r["columns"] for r in key_check(df, sets).where("distinct_keys = rows AND empty_keys = 0").collect()]
+    alone = {k for k in keys if "," not in k}
+    kept = [k for k in keys if k in alone or alone.isdisjoint(k.split(","))]
+    return df.sparkSession.createDataFrame([(k, rows) for k in kept], "columns string, rows long")
+
+
+def joined(df: DataFrame, by: list[str], column: str, between: str = "; ") -> DataFrame:
+    """The different values of a column per group, in order, as one text."""
+    return df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), between).alias("joined"))
+
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """(n, digest) of a table: equal for the same rows in any order."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns]))
+    number = F.conv(F.left(row, F.lit(12)), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").alias("digest"))
+
+
+def propose_types(df: DataFrame, formats_: list[str] | None = None) -> dict[str, str]:
+    """The narrowest declared type that every non-empty value of each column fits, from one pass; flags and codes stay text."""
+    dates, measures = formats_ or ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S"], []
+    for k, c in enumerate(df.columns):
+        text = F.trim(F.col(f"`{c}`").cast("string"))
+        full = F.when(text != "", text)
+        measures += [
+            F.count(full).alias(f"n{k}"),
+            F.count(F.when(full.rlike(r"^[+-]?(0|[1-9]\d{0,17})$"), 1)).alias(f"ints{k}"),
+            F.count(F.when(full.rlike(r"^[+-]?\d{1,16}(\.\d{1,2})?$") & ~full.rlike(r"^[+-]?0\d"), 1)).alias(f"decs{k}"),
+            F.count(full.try_cast("double")).alias(f"nums{k}"),
+            F.count(parse_time(full, dates)).alias(f"times{k}"),
+            F.count(F.when(full.rlike(r"\d:\d"), 1)).alias(f"clocks{k}"),
+        ]
+    row = df.agg(*measures).first()
+
+    def narrowest(k: int) -> str:
+        n, ints, decs, nums, times, clocks = (row[f"{x}{k}"] for x in ("n", "ints", "decs", "nums", "times", "clocks"))
+        if not n:
+            return "VARCHAR"
+        if ints == n:
+            return "BIGINT"
+        if decs == n:
+            return "DECIMAL(18,2)"
+        if times == n:
+            return "TIMESTAMP" if clocks else "DATE"
+        return "DOUBLE" if nums == n and not ints else "VARCHAR"
+
+    return {c: narrowest(k) for k, c in enumerate(df.columns)}
+
+
 def propose_type(df: DataFrame, column: str, formats_: list[str] | None = None) -> str:
-    """The narrowest declared type that every non-empty value fits; flags and codes stay text."""
-    text = F.trim(F.col(column).cast("string"))
-    full = F.when(text != "", text)
-    row = df.agg(
-        F.count(full).alias("n"),
-        F.count(F.when(full.rlike(r"^[+-]?(0|[1-9]\d{0,17})$"), 1)).alias("ints"),
-        F.count(F.when(full.rlike(r"^[+-]?\d{1,16}(\.\d{1,2})?$") & ~full.rlike(r"^[+-]?0\d"), 1)).alias("decs"),
-        F.count(full.try_cast("double")).alias("nums"),
-        F.count(parse_time(full, formats_ or ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S"])).alias("times"),
-        F.count(F.when(full.rlike(r"\d:\d"), 1)).alias("clocks"),
-    ).first()
-    if not row.n:
-        return "VARCHAR"
-    if row.ints == row.n:
-        return "BIGINT"
-    if row.decs == row.n:
-        return "DECIMAL(18,2)"
-    if row.times == row.n:
-        return "TIMESTAMP" if row.clocks else "DATE"
-    return "DOUBLE" if row.nums == row.n and not row.ints else "VARCHAR"
+    return propose_types(df.select(F.col(f"`{column}`").alias("x")), formats_)["x"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts, fragments, keys
 from ..operators import gold, merge, profile, silver
+from ..sources import scan
 from .specs import Card, Entity, Field, Lookup, Measure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,16 @@ def _(spark, d):
     return read(spark, d, "customer").select("c_custkey", sk.alias("sk"))
 
 
+@query(
+    "salted_key",
+    "SELECT c_custkey, md5('pepper' || to_json(struct_pack(k0 := CAST(c_custkey AS VARCHAR), k1 := trim(c_name)))) AS sk FROM customer",
+)
+def _(spark, d):
+    spec = Entity("c", (Field("k", "BIGINT", "c_custkey", key=True, mask="hash"), Field("n", source="c_name", key=True)), salt="pepper")
+    rows = silver.typed(silver.with_provenance(read(spark, d, "customer"), "customer", order=["c_custkey"]), spec)
+    return rows.select(F.col("k").alias("c_custkey"), F.col("_sk").alias("sk"))
+
+
 @query("mask_hash", "SELECT c_custkey, md5('pepper' || c_name) AS name_hash FROM customer")
 def _(spark, d):
     return read(spark, d, "customer").select("c_custkey", keys.mask(F.col("c_name"), "pepper").alias("name_hash"))
@@ -223,6 +234,15 @@ def _(spark, d):
     return dead.select("entity", F.get_json_object("raw_row", "$.order_id").cast("bigint").alias("order_id"), "reason")
 
 
+@query(
+    "anomaly_and_hard_tags",
+    f"""SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 11 <> 0 AND CAST(o_totalprice AS DECIMAL(18,2)) > 400000 THEN 'huge' END AS anomaly,
+    CASE WHEN o_orderkey % 11 <> 0 AND CAST(o_totalprice AS DECIMAL(18,2)) < 10000 THEN 'too_small' END AS hard FROM orders""",
+)
+def _(spark, d):
+    return _orders_built(spark, d).select("order_id", F.col("_anomaly").alias("anomaly"), F.col("_hard").alias("hard"))
+
+
 @query(
     "domain_check",
     "SELECT o_orderkey, o_orderstatus NOT IN ('F','O') AS outside FROM orders",
@@ -490,6 +510,48 @@ def _(spark, d):
     return merge.terms(t, f, spec)
 
 
+@query(
+    "merge_append_terms",
+    f"SELECT CASE WHEN tk IS NULL THEN 'inserted' ELSE 'already_present' END AS action, COUNT(*) AS n FROM ({_MET}) WHERE fk IS NOT NULL GROUP BY 1",
+)
+def _(spark, d):
+    spec = _order_entity("append")
+    t, f = _halves(spark, d, spec, _raised)
+    return merge.terms(t, f, spec)
+
+
+@query(
+    "merge_cdc_terms",
+    f"""SELECT CASE WHEN tk IS NULL AND gone THEN 'stale' WHEN tk IS NULL THEN 'inserted' WHEN fv <= tv THEN 'stale' WHEN gone THEN 'deleted' ELSE 'updated' END AS action,
+    COUNT(*) AS n FROM ({_MET}) WHERE fk IS NOT NULL GROUP BY 1""",
+)
+def _(spark, d):
+    spec = _order_entity("cdc_apply", version="v", op="op")
+    t, f = _halves(spark, d, spec, _raised)
+    return merge.terms(t, f, spec)
+
+
+@query(
+    "merge_snapshot_terms",
+    f"""SELECT CASE WHEN fk IS NULL THEN 'deleted' WHEN tk IS NULL THEN 'inserted' ELSE 'updated' END AS action, COUNT(*) AS n FROM ({_MET}) GROUP BY 1""",
+)
+def _(spark, d):
+    spec = _order_entity("snapshot_diff")
+    t, f = _halves(spark, d, spec, _raised)
+    return merge.terms(t, f, spec)
+
+
+@query(
+    "merge_partition_terms",
+    f"""WITH f AS ({_F} AND o_orderstatus = 'F'), t AS ({_T} AND o_orderstatus = 'F')
+    SELECT 'inserted' AS action, (SELECT COUNT(*) FROM f) AS n UNION ALL SELECT 'removed', (SELECT COUNT(*) FROM t)""",
+)
+def _(spark, d):
+    spec = _order_entity("partition_replace", partition=("status",))
+    t, f = _halves(spark, d, spec, lambda x: _raised(x).where("o_orderstatus = 'F'"))
+    return merge.terms(t, f, spec)
+
+
 @query(
     "merge_cdc",
     f"""SELECT k AS order_id, CASE WHEN tk IS NULL THEN ft WHEN fv > tv AND NOT gone THEN ft ELSE tt END AS total,
@@ -740,7 +802,7 @@ _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 @query("profile_columns", _profile_sql("(SELECT * REPLACE (CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal) FROM customer)", _CUSTOMER))
 def _(spark, d):
-    return profile.columns(read(spark, d, "customer").withColumn("c_acctbal", money("c_acctbal")))
+    return profile.columns(read(spark, d, "customer").withColumn("c_acctbal", money("c_acctbal")), exact=True)
 
 
 @query(
@@ -777,19 +839,66 @@ def _(spark, d):
     return profile.castable(read(spark, d, "customer").select(F.when(k % 10 == 0, "n/a").otherwise(k.cast("string")).alias("x")), "x", "BIGINT")
 
 
-@query("distinct_rows", "SELECT COUNT(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)")
+@query("distinct_rows", "SELECT COUNT(*) AS n FROM (SELECT DISTINCT * FROM events)")
 def _(spark, d):
-    return profile.distinct_rows(read(spark, d, "orders").select("o_custkey", "o_orderstatus"))
+    return profile.distinct_rows(read(spark, d, "events"))
+
+
+_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+def _key_sql(table: str, columns: list[str]) -> str:
+    sets = [[c] for c in columns] + [[a, b] for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    one = "SELECT '{0}' AS \"columns\", COUNT(*) AS rows FROM {1} HAVING COUNT(DISTINCT ({0})) = COUNT(*) AND COUNT(*) FILTER (WHERE {2}) = 0"
+    every = " UNION ALL ".join(one.format(",".join(s), table, " OR ".join(f"{c} IS NULL" for c in s)) for s in sets)
+    return f"WITH k AS ({every}) SELECT * FROM k WHERE \"columns\" NOT LIKE '%,%' OR NOT EXISTS (SELECT 1 FROM k s WHERE list_contains(string_split(k.\"columns\", ','), s.\"columns\"))"
+
+
+@query("key_candidates", _key_sql("lineitem", _LINEITEM))
+def _(spark, d):
+    return profile.key_candidates(read(spark, d, "lineitem"))
 
 
 @query(
-    "key_candidates",
+    "key_check",
     """SELECT 'l_orderkey' AS "columns", COUNT(*) AS rows, COUNT(DISTINCT l_orderkey) AS distinct_keys, CAST(0 AS BIGINT) AS empty_keys FROM lineitem
-    UNION ALL SELECT 'l_linenumber', COUNT(*), COUNT(DISTINCT l_linenumber), 0 FROM lineitem
     UNION ALL SELECT 'l_orderkey,l_linenumber', COUNT(*), COUNT(DISTINCT (l_orderkey, l_linenumber)), 0 FROM lineitem""",
 )
 def _(spark, d):
-    return profile.key_candidates(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    return profile.key_check(read(spark, d, "lineitem"), [["l_orderkey"], ["l_orderkey", "l_linenumber"]])
+
+
+@query("joined_values", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS joined FROM customer GROUP BY c_nationkey")
+def _(spark, d):
+    return profile.joined(read(spark, d, "customer"), ["c_nationkey"], "c_mktsegment")
+
+
+@query(
+    "table_content_hash",
+    """SELECT COUNT(*) AS n, CAST(SUM(CAST('0x' || left(md5(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\\N'), coalesce(n_name, '\\N'),
+    coalesce(CAST(n_regionkey AS VARCHAR), '\\N'))), 12) AS BIGINT)) AS DECIMAL(38,0)) AS digest FROM nation""",
+)
+def _(spark, d):
+    return profile.content_hash(read(spark, d, "nation"))
+
+
+@query("rows_not_in_other", "SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def _(spark, d):
+    mine, other = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select("s_nationkey")
+    return mine.exceptAll(other)
+
+
+@query(
+    "structural_whole_column",
+    "SELECT CAST(NULL AS VARCHAR) AS split_value, COUNT(*) AS n, 'gone' AS column_name, COUNT(*) AS nulls FROM events HAVING COUNT(*) >= 20",
+)
+def _(spark, d):
+    return profile.structural_nulls(read(spark, d, "events").select("event_id", F.lit(None).cast("string").alias("gone")))
+
+
+@query("row_numbers", "SELECT c_custkey, row_number() OVER () AS _row_number FROM customer")
+def _(spark, d):
+    return scan.parquet_rows(spark, f"{d}/customer.parquet").select("c_custkey", "_row_number")
 
 
 # ---- set operations and serving ---------------------------------------------------------------------------------

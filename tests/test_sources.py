@@ -170,5 +170,10 @@ def test_streams(spark, tmp_path):
 def test_profiles(spark):
     df = spark.createDataFrame([("1", "Y"), ("2", "N"), ("3", None)], "a string, b string")
     assert profile.propose_type(df, "a") == "BIGINT" and profile.propose_type(df, "b") == "VARCHAR"
+    assert profile.propose_types(df) == {"a": "BIGINT", "b": "VARCHAR"}
+    wide = spark.range(50).selectExpr(*[f"id % {k + 2} c{k}" for k in range(11)], "id late", "' ' blank")
+    assert {r["columns"] for r in profile.key_candidates(wide).collect()} >= {"late"}
+    assert profile.key_check(wide, [["blank"]]).first().empty_keys == 50 and profile.key_candidates(wide.limit(0)).count() == 0
+    assert profile.content_hash(wide).first() == profile.content_hash(wide.orderBy(F.desc("late"))).first() != profile.content_hash(wide.limit(49)).first()
     got = {r.column_name: r for r in profile.columns(df).collect()}
     assert got["b"].nulls == 1 and got["a"].distinct_values == 3
