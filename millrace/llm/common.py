@@ -55,11 +55,20 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back, with its schema."""
+    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and return it as read back, with its schema.
+
+        ``batch``: rows that go to a Python worker at a time, where rows may be long; it holds for this write alone.
+        """
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf, name = f"{self.root}/{self.n}", self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        try:
+            if batch:
+                conf.set(name, str(batch))
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(name, before)
         if self.n == 1:
             target, files = self._files(self.root)
             files.deleteOnExit(target)

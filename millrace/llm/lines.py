@@ -338,7 +338,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS) -> DataFrame:
     """Verified pairs (ah, ag, bh, bg) of classes, both ways round."""
-    pairs = scratch.keep(candidates(docs, max_edits))
+    pairs = scratch.keep(candidates(docs, max_edits), batch=1000)
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     if bounded(wanted, MOST_BROADCAST):
         wanted = F.broadcast(wanted)
@@ -354,9 +354,8 @@ def linked(docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS) -> Dat
 
     side = lambda c, t: texts.select(F.col("h").alias(c), F.col("h").alias(c + "h"), F.col("g").alias(c + "g"), F.col("line").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    good = scratch.keep(
-        both.select("ah", "ag", "bh", "bg", "x", "y").mapInArrow(verify, "ah long, ag long, bh long, bg long")
-    )
+    good = both.select("ah", "ag", "bh", "bg", "x", "y").mapInArrow(verify, "ah long, ag long, bh long, bg long")
+    good = scratch.keep(good, batch=500)
     scratch.drop(texts)
     return good.unionByName(
         good.select(F.col("bh").alias("ah"), F.col("bg").alias("ag"), F.col("ah").alias("bh"), F.col("ag").alias("bg"))

@@ -162,7 +162,8 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similar: float, sc
     both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x").join(
         texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y"
     )
-    return scratch.keep(both.select("s", "t").mapInArrow(compare, "a long, b long"))
+    # a text may be of any length and stand in many pairs
+    return scratch.keep(both.select("s", "t").mapInArrow(compare, "a long, b long"), batch=64)
 
 
 def _apart(e: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -241,7 +242,7 @@ def close_pairs(docs: DataFrame, e: DataFrame, shingle: int, similar: float) ->
 
 def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: float, scratch: Scratch) -> DataFrame:
     """``other`` links (a, b: fingerprints) and those that join all texts at ``similar`` or more."""
-    e = scratch.keep(shared(docs, shingle))
+    e = scratch.keep(shared(docs, shingle), batch=1000)
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similar - 1e-9)
     pair = lambda a, b: [F.greatest(a, b).alias("x"), F.least(a, b).alias("y")]
     tested = scratch.keep(e.where("id <> first").select(*pair("id", "first")).distinct())
@@ -255,5 +256,5 @@ def similar_links(docs: DataFrame, other: DataFrame, shingle: int, similar: floa
 
     tested = tested.unionByName(next_)
     rest = close_pairs(docs, _apart(e, found, scratch), shingle, similar).distinct()
-    rest = scratch.keep(rest.join(tested, ["x", "y"], "left_anti"))
+    rest = scratch.keep(rest.join(tested, ["x", "y"], "left_anti"), batch=1000)
     return found.unionByName(verified(docs, rest, shingle, similar, scratch))

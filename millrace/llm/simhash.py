@@ -179,7 +179,7 @@ def _classes(
     docs: DataFrame, scratch: Scratch, shingle: int, radius: int, similar: float | None
 ) -> tuple[DataFrame, DataFrame]:
     """Every row's (doc_id, text_id, fp), and for each fp the ``place`` that comes first in its component."""
-    marked = scratch.keep(fingerprints(docs, shingle))
+    marked = scratch.keep(fingerprints(docs, shingle), batch=1000)
     fps = scratch.keep(marked.groupBy("fp").agg(F.min(place()).alias("first")))
     pairs = links(fps, radius)
     if similar is not None:
