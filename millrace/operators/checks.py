@@ -46,11 +46,11 @@ def _off(got: int, want: int) -> int:
 
 
 def batch_proofs(
-    spec: Entity, landed: int, count, batch: DataFrame, before: int, expected_before: int | None, staged: DataFrame, ignored: int, ties: int, dead: int
+    spec: Entity, landed: int, count, batch: DataFrame, before: int, expected_before: int | None, staged: DataFrame, unseen: dict[str, int], ties: int, dead: int
 ) -> tuple[list[Proof], dict[str, int]]:
     """Proofs of one batch on the version as it was written, and the merge's terms.
 
-    ``landed`` is counted on the batch before any lookup, ``count`` on its outcome; ``ignored`` are deletes of unknown keys, which leave no row.
+    ``landed`` is counted on the batch before any lookup, ``count`` on its outcome; ``unseen`` are terms that leave no trace on a row.
     """
     keys = [f.name for f in spec.keys if f.mask != "drop"]
     null_key = F.lit(False)
@@ -68,8 +68,8 @@ def batch_proofs(
         n = {"inserted": n.get("inserted", 0), "removed": before - n.get("untouched", 0)}
         outcomes = n["inserted"]
     else:
-        n["stale"] = n.get("stale", 0) + ignored
         n.pop("untouched", None)
+        n |= {k: n.get(k, 0) + v for k, v in unseen.items()}
         outcomes = sum(v for k, v in n.items() if not (k == "deleted" and spec.strategy == "snapshot_diff"))
     change = n.get("inserted", 0) - n.get("removed", 0)
     n["withdrawn"] = sum(r.withdrawn for r in found)

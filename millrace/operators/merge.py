@@ -110,11 +110,11 @@ def apply(
     return staged(target, batch, spec, touched, feeds).drop("_action")
 
 
-def ignored_deletes(target: DataFrame, batch: DataFrame, spec: Entity) -> int:
-    """Deletes of keys that the table does not have; they leave no row behind."""
+def ignored_deletes(target: DataFrame, batch: DataFrame, spec: Entity) -> dict[str, int]:
+    """Deletes of keys that the table does not have, as a term; they leave no row behind."""
     if spec.strategy != "cdc_apply":
-        return 0
-    return batch.where("_is_deleted").join(target.select("_sk"), "_sk", "left_anti").count()
+        return {}
+    return {"stale": batch.where("_is_deleted").join(target.select("_sk"), "_sk", "left_anti").count()}
 
 
 def terms(target: DataFrame, batch: DataFrame, spec: Entity, touched: DataFrame | None = None) -> DataFrame:

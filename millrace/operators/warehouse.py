@@ -115,16 +115,26 @@ def _run_batch(
     try:
         target = table.read() if table.version else spark.createDataFrame([], done.schema)
         touched = rows if spec.strategy == "partition_replace" else rows.where("_key_ok")
-        after = merge.staged(target, done, spec, touched, [source])
-        if spec.accept == "reject_key":
-            after = merge.withdraw(after, rows, done, spec)
-        version, written = table.stage(after)
+        ignored = merge.ignored_deletes(target, done, spec)
+        more = spec.accept != "reject_key" and table.version and not table.many_parts
+        if more and spec.strategy == "append":  # of the table, its keys are read and nothing is written again
+            mine = done.select(*target.columns)
+            fresh = mine.join(target.select("_sk"), "_sk", "left_anti").select(*target.columns).withColumn("_action", F.lit("inserted"))
+            version, written = table.stage_more(fresh)
+            ignored = {"already_present": mine.join(target.select("_sk"), "_sk", "left_semi").count()}
+        elif more and spec.strategy == "partition_replace":
+            fresh = done.select(*target.columns).withColumn("_action", F.lit("inserted"))
+            version, written = table.stage_more(fresh, touched.select("_src", *spec.partition))
+        else:
+            after = merge.staged(target, done, spec, touched, [source])
+            if spec.accept == "reject_key":
+                after = merge.withdraw(after, rows, done, spec)
+            version, written = table.stage(after)
         count = silver.counters(rows).first()
         dead = silver.dead_letters(rows, spec)
         dead.write.mode("overwrite").parquet(dead_to)
         kept = spark.read.schema(dead.schema).parquet(dead_to).count()
         ties = silver.ties(rows, spec).limit(1).count()
-        ignored = merge.ignored_deletes(target, done, spec)
         proofs, terms = checks.batch_proofs(spec, landed, count, done, target.count(), expected, written, ignored, ties, kept)
         try:
             demand(proofs)

@@ -9,13 +9,14 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Files
 
-KEPT = 3
+KEPT, MOST_PARTS = 3, 16
 #: Columns of a staged version that say how each row got there; readers do not see them.
 TRACE = ("_action", "_withdrawn")
 
@@ -25,34 +26,82 @@ class Busy(RuntimeError):
 
 
 class Table:
-    """``root``/v<N> holds version N; CURRENT names the visible one.  Readers never see a half-written version."""
+    """Versions of a table; CURRENT says which is visible, so readers never see a half-written one.
+
+    A version is a list of parts.  Part ``v<N>`` was written with version N and may have lost partitions since then, which are
+    named in small tables beside it.  So a batch that only adds rows or replaces partitions writes these rows and not the table;
+    what rewrites rows anywhere writes a version of one part.  After MOST_PARTS parts a version is written whole again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root, Files(spark)
 
+    def _state(self) -> dict:
+        return json.loads(self.files.read(f"{self.root}/CURRENT") or '{"version": 0, "parts": []}')
+
     @property
     def version(self) -> int:
-        return int(self.files.read(f"{self.root}/CURRENT") or 0)
-
-    def _read(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{n}")
+        return self._state()["version"]
+
+    def _frame(self, parts: list[dict], fresh: str | None = None) -> DataFrame:
+        """The rows of some parts; with ``fresh``, rows of other parts carry no trace of how they once got there."""
+        found = []
+        for p in parts:
+            df = self.spark.read.parquet(f"{self.root}/{p['path']}")
+            if fresh is not None and p["path"] != fresh:
+                df = df.drop(*TRACE).withColumn("_action", F.lit("untouched"))
+            for g in p["gone"]:
+                gone = F.broadcast(self.spark.read.parquet(f"{self.root}/{g}"))  # one row per replaced partition
+                same = [df[c].eqNullSafe(gone[c]) for c in gone.columns]
+                df = df.join(gone, reduce(lambda a, b: a & b, same), "left_anti")
+            found.append(df if fresh is not None else df.drop(*TRACE))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
     def read(self) -> DataFrame:
-        if not self.version:
+        parts = self._state()["parts"]
+        if not parts:
             raise FileNotFoundError(self.root)
-        return self._read(self.version).drop(*TRACE)
+        return self._frame(parts)
 
-    def stage(self, df: DataFrame) -> tuple[int, DataFrame]:
-        """Writes the next version without making it visible; gives its number and its rows as written, traces included."""
+    def stage(self, df: DataFrame) -> tuple[dict, DataFrame]:
+        """Writes the next version whole without making it visible; gives it and its rows as written, traces included."""
         n = self.version + 1
         df.write.mode("overwrite").parquet(f"{self.root}/v{n}")
-        return n, self._read(n)
+        state = {"version": n, "parts": [{"path": f"v{n}", "gone": []}]}
+        return state, self._frame(state["parts"], f"v{n}")
 
-    def release(self, n: int) -> int:
-        """Makes version ``n`` the visible one; a crash before that leaves the old version current."""
-        self.files.write(f"{self.root}/CURRENT", str(n))
-        for k in range(1, n - KEPT + 1):
-            self.files.delete(f"{self.root}/v{k}")
+    @property
+    def many_parts(self) -> bool:
+        return len(self._state()["parts"]) >= MOST_PARTS
+
+    def stage_more(self, rows: DataFrame, gone: DataFrame | None = None) -> tuple[dict, DataFrame]:
+        """As ``stage``, for a version that adds ``rows`` to the visible one after its partitions in ``gone`` are taken out."""
+        now = self._state()
+        n = now["version"] + 1
+        rows.write.mode("overwrite").parquet(f"{self.root}/v{n}")
+        lost = []
+        if gone is not None:
+            gone.distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/v{n}.gone")
+            lost = [f"v{n}.gone"]
+        parts = [{"path": p["path"], "gone": p["gone"] + lost} for p in now["parts"]]
+        state = {"version": n, "parts": [*parts, {"path": f"v{n}", "gone": []}]}
+        return state, self._frame(state["parts"], f"v{n}")
+
+    def release(self, state: dict) -> int:
+        """Makes a staged version the visible one; a crash before that leaves the old version current."""
+        n, text = state["version"], json.dumps(state)
+        self.files.write(f"{self.root}/v{n}.json", text)
+        self.files.write(f"{self.root}/CURRENT", text)
+        names = self.files.names(self.root)
+        versions = [x for x in names if x.endswith(".json")]
+        kept = [x for x in versions if n - KEPT < int(x[1:-5]) <= n]
+        used = {"CURRENT", "LEASE", *kept}
+        for x in kept:
+            for p in json.loads(self.files.read(f"{self.root}/{x}") or text)["parts"]:
+                used |= {p["path"], *p["gone"]}
+        for x in names:
+            if x not in used and x.startswith("v"):
+                self.files.delete(f"{self.root}/{x}")
         return n
 
     def commit(self, df: DataFrame) -> int:

@@ -142,6 +142,18 @@ def test_versions_and_snapshots(spark, tmp_path):
     t.commit(spark.range(3))
     t.commit(t.read().union(spark.range(1)))
     assert t.version == 2 and t.read().count() == 4
+    t = Table(spark, f"{tmp_path}/parts")
+    rows = lambda p, ids: spark.createDataFrame([(i, p) for i in ids], "id long, p string")
+    t.commit(rows("a", [1, 2]).union(rows("b", [3])))
+    state, seen = t.stage_more(rows("a", [9]).withColumn("_action", F.lit("inserted")), rows("a", [1]).select("p"))
+    assert t.read().count() == 3  # not visible yet
+    assert sorted((r.id, r._action) for r in seen.collect()) == [(3, "untouched"), (9, "inserted")]
+    t.release(state)
+    t.release(t.stage_more(rows("c", [5]))[0])
+    assert sorted(r.id for r in t.read().collect()) == [3, 5, 9] and t.read().columns == ["id", "p"]
+    for k in range(4):
+        t.commit(t.read())
+    assert t.version == 7 and {x for x in os.listdir(t.root) if x.startswith("v") and not x.endswith((".gone", ".json"))} == {"v5", "v6", "v7"}
     publish({"g": spark.range(2)}, f"{tmp_path}/pub", "s1")
     assert current(spark, f"{tmp_path}/pub")["g"].count() == 2
     part = next(f for f in os.listdir(f"{tmp_path}/pub/s1/g") if f.endswith(".parquet"))

@@ -130,6 +130,23 @@ def test_bad_declarations_are_refused(spark, tmp_path, more, words):
         warehouse.build(spark, spec, feed(spark, {("1", 1): [("A", "1")]}), str(tmp_path / "w"))
 
 
+@pytest.mark.parametrize("strategy", ["append", "partition_replace"])
+def test_batches_write_their_own_rows_only(spark, tmp_path, strategy, monkeypatch):
+    spec = Entity("e", (Field("sku", key=True), Field("price", "DECIMAL(10,2)")), strategy=strategy, partition=("price",) if strategy != "append" else ())
+    batches = {("1", 1): [("A", "1"), ("B", "2")], ("2", 1): [("A" if strategy == "append" else "C", "1"), ("D", "3")], ("3", 1): [("E", "1"), ("F", "x")]}
+    reports, states = [], []
+    for most in (16, 1):  # in parts, and every version whole
+        monkeypatch.setattr("millrace.sources.store.MOST_PARTS", most)
+        root = str(tmp_path / f"w{most}")
+        reports.append([(r["merge"], r["rows_after"]) for r in warehouse.build(spark, spec, feed(spark, batches), root)])
+        states.append(state(spark, root))
+        parts = Table(spark, f"{root}/table")._state()["parts"]
+        assert len(parts) == (3 if most == 16 else 1)
+    assert reports[0] == reports[1] and states[0] == states[1]
+    want = {"A", "B", "D", "E"} if strategy == "append" else {"B", "D", "E"}
+    assert {k for k, _ in states[0]} == want
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     t = Table(spark, f"{tmp_path}/t")
     with t.lease():
