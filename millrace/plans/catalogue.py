@@ -279,22 +279,22 @@ _FRAGMENTS = {
     }),
     "math": ("orders", "o_orderkey", {
         "rounded": "round(CAST(o_totalprice AS DECIMAL(18,2)), 1)", "log_10": "round(log(o_orderkey + 1), 6)", "natural": "round(ln(o_orderkey + 1), 6)",
-        "root": "round(sqrt(o_custkey), 6)", "raised": "pow(o_orderkey % 10, 2)", "signed": "sign(o_custkey - 100)", "most": "greatest(o_orderkey, o_custkey, NULL)",
+        "root": "round(sqrt(o_custkey), 6)", "raised": "pow(o_orderkey % 10, 2)", "signed": "CAST(sign(o_custkey - 100) AS INTEGER)", "most": "greatest(o_orderkey, o_custkey, NULL)",
         "endless": "isinf(o_totalprice)", "modulo": "mod(o_orderkey, 6)",
     }),
     "null": ("events", "event_id", {"one": "coalesce(NULL, event_type)", "two": "nullif(event_type, 'view')", "three": "ifnull(nullif(user_id, 1), 0)"}),
     "string": ("customer", "c_custkey", {
         "glued": "concat(c_name, NULL, '-', c_custkey)", "first_hit": "regexp_replace(c_name, '([0-9])0*', '<\\1>')", "all_hits": "regexp_replace(c_name, '0', 'o', 'g')",
         "found": "regexp_extract(c_name, '[1-9][0-9]*')", "part": "split_part(c_name, '#', 2)", "padded": "lpad(c_mktsegment, 4, '*')", "cut": "substr(c_mktsegment, 0, 3)",
-        "ends": "ends_with(c_mktsegment, 'Y')", "place": "strpos(c_name, '#')", "less": "left(c_mktsegment, -2)", "bytes": "strlen(c_name)", "digest": "md5(c_name)",
+        "ends": "ends_with(c_mktsegment, 'Y')", "place": "CAST(strpos(c_name, '#') AS BIGINT)", "less": "left(c_mktsegment, -2)", "bytes": "CAST(strlen(c_name) AS BIGINT)", "digest": "md5(c_name)",
     }),
     "date": ("orders", "o_orderkey", {
-        "weekday": "dayofweek(o_orderdate)", "iso": "extract(isodow FROM o_orderdate)", "week_start": "CAST(date_trunc('week', o_orderdate) AS DATE)",
+        "weekday": "CAST(dayofweek(o_orderdate) AS BIGINT)", "iso": "CAST(extract(isodow FROM o_orderdate) AS BIGINT)", "week_start": "CAST(date_trunc('week', o_orderdate) AS DATE)",
         "months": "date_diff('month', o_orderdate, TIMESTAMP '2000-02-29 00:00:00')", "whole_years": "date_sub('year', o_orderdate, TIMESTAMP '2000-02-29 00:00:00')",
         "shown": "strftime(o_orderdate, '%d.%m.%Y')", "back": "CAST(try_strptime(strftime(o_orderdate, '%Y/%m/%d'), '%Y/%m/%d') AS DATE)",
         "later": "CAST(date_add(o_orderdate, INTERVAL 1 MONTH) AS DATE)", "seconds": "epoch(o_orderdate)", "month_end": "last_day(o_orderdate)",
     }),
-    "list": ("orders", "o_orderkey", {"among": "list_contains(['F', 'P'], o_orderstatus)", "has": "list_has(list_value(1, 2, 3), o_orderkey % 5)", "size": "len([o_orderkey, 1])"}),
+    "list": ("orders", "o_orderkey", {"among": "list_contains(['F', 'P'], o_orderstatus)", "has": "list_has(list_value(1, 2, 3), o_orderkey % 5)", "size": "CAST(len([o_orderkey, 1]) AS BIGINT)"}),
 }
 
 for _group, (_table, _key, _texts) in _FRAGMENTS.items():
