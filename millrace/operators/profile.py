@@ -102,27 +102,25 @@ def key_candidates(df: DataFrame, pairs_of: int = 12, rsd: float = 0.02) -> Data
     """(columns, rows) of every single column and pair that is a key: no value twice, none empty.
 
     One pass estimates the distinct values of all columns and of the pairs of the ``pairs_of`` columns with most of them; only sets
-    that may be keys by that are counted exactly.  A pair that holds a key of one column is not listed.
+    that may be keys by that are looked at exactly, one by one.  A pair that holds a key of one column is not listed.
     """
     estimate = lambda s: F.approx_count_distinct(F.struct(*[f"`{c}`" for c in s]), rsd)
     singles = [[c] for c in df.columns]
     first = df.agg(F.count("*"), *[estimate(s) for s in singles], *[F.count_if(_empty(df, s)) for s in singles]).first()
     rows, n = first[0], len(singles)
     guess, empty = dict(zip(df.columns, first[1 : n + 1])), dict(zip(df.columns, first[n + 1 :]))
-    least = rows * (1 - 5 * rsd)
+    least = rows * (1 - 4 * rsd)
     able = [c for c in df.columns if not empty[c]]
-    sets = [[c] for c in able if guess[c] >= least]
-    wide = sorted(able, key=lambda c: (-guess[c], c))[:pairs_of]
+    # each is one grouping with a partial aggregate; several distinct counts at once would copy every row for each
+    unique = lambda names: not df.groupBy(*[F.col(f"`{c}`") for c in names]).count().where("count > 1").limit(1).count()
+    keys = [[c] for c in able if rows and guess[c] >= least and unique([c])]
+    alone = {k[0] for k in keys}
+    wide = set(sorted((c for c in able if c not in alone), key=lambda c: (-guess[c], c))[:pairs_of])
     pairs = [[a, b] for a, b in combinations([c for c in df.columns if c in wide], 2) if guess[a] * guess[b] >= least]
-    if pairs:
+    if rows and pairs:
         seen = df.agg(*[estimate(p) for p in pairs]).first()
-        sets += [p for p, g in zip(pairs, seen) if g >= least]
-    if not rows or not sets:
-        return df.sparkSession.createDataFrame([], "columns string, rows long")
-    keys = [r["columns"] for r in key_check(df, sets).where("distinct_keys = rows AND empty_keys = 0").collect()]
-    alone = {k for k in keys if "," not in k}
-    kept = [k for k in keys if k in alone or alone.isdisjoint(k.split(","))]
-    return df.sparkSession.createDataFrame([(k, rows) for k in kept], "columns string, rows long")
+        keys += [p for p, g in zip(pairs, seen) if g >= least and unique(p)]
+    return df.sparkSession.createDataFrame([(",".join(k), rows) for k in keys], "columns string, rows long")
 
 
 def joined(df: DataFrame, by: list[str], column: str, between: str = "; ") -> DataFrame:

@@ -844,7 +844,7 @@ def _(spark, d):
     return profile.distinct_rows(read(spark, d, "events"))
 
 
-_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+_ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
 
 
 def _key_sql(table: str, columns: list[str]) -> str:
@@ -854,9 +854,9 @@ def _key_sql(table: str, columns: list[str]) -> str:
     return f"WITH k AS ({every}) SELECT * FROM k WHERE \"columns\" NOT LIKE '%,%' OR NOT EXISTS (SELECT 1 FROM k s WHERE list_contains(string_split(k.\"columns\", ','), s.\"columns\"))"
 
 
-@query("key_candidates", _key_sql("lineitem", _LINEITEM))
+@query("key_candidates", _key_sql("orders", _ORDERS))
 def _(spark, d):
-    return profile.key_candidates(read(spark, d, "lineitem"))
+    return profile.key_candidates(read(spark, d, "orders"))
 
 
 @query(
