@@ -1,7 +1,8 @@
-"""Counts-only profiles, each in a single pass over its table."""
+"""Counts-only profiles, each in a single pass over its table; exact distinct counts take one grouping for each."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -17,19 +18,48 @@ def _long(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _groups(df: DataFrame, names: list[str], **measures) -> DataFrame:
+    """The different rows of some columns as ``k0``, ``k1``, ..., how often each occurs as ``n``, and measures of them.
+
+    A grouping for each set of columns holds its own keys only; several distinct counts in one aggregate copy every row for each count
+    and group the copies by all columns and measures at once.
+    """
+    keys = [f"k{i}" for i in range(len(names))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, keys)])
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[m.alias(name) for name, m in measures.items()])
+
+
+def _rows_where(condition):
+    """The number of rows in the groups that meet a condition; 0 if there are none."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
+def _exact_column(df: DataFrame, column: str) -> DataFrame:
+    value, length = F.col("k0"), F.length(F.col("k0").cast("string"))
+    return _groups(df, [column], low=F.min(length), high=F.max(length)).agg(
+        F.lit(column).alias("column_name"),
+        _rows_where(value.isNull()).alias("nulls"),
+        _rows_where(value.cast("string") == "").alias("empties"),
+        F.count(value).alias("distinct_values"),
+        F.min("low").alias("min_length"),
+        F.max("high").alias("max_length"),
+    )
+
+
 def columns(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: nulls, empty strings, distinct values, shortest and longest text.
 
-    Distinct values are estimated in the same pass; ``exact`` ones cost a copy of the table's rows for every column.
+    Distinct values are estimated in the same pass; ``exact`` ones read the table once for every column, and only that column of it.
     """
-    count = F.countDistinct if exact else F.approx_count_distinct
+    if exact:
+        return reduce(DataFrame.unionByName, [_exact_column(df, c) for c in df.columns])
     measures = []
     for c in df.columns:
         text = F.col(f"`{c}`").cast("string")
         measures += [
-            F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"{c}|nulls"),
-            F.sum((text == "").cast("long")).alias(f"{c}|empties"),
-            count(F.col(f"`{c}`")).alias(f"{c}|distinct_values"),
+            F.count_if(F.col(f"`{c}`").isNull()).alias(f"{c}|nulls"),
+            F.count_if(text == "").alias(f"{c}|empties"),
+            F.approx_count_distinct(F.col(f"`{c}`")).alias(f"{c}|distinct_values"),
             F.min(F.length(text)).alias(f"{c}|min_length"),
             F.max(F.length(text)).alias(f"{c}|max_length"),
         ]
@@ -85,17 +115,18 @@ def _empty(df: DataFrame, names: list[str]):
 
 
 def key_check(df: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """(columns, rows, distinct_keys, empty_keys) of the given sets of columns, exactly and in one pass."""
-    measures = [F.count("*").alias("rows")]
-    for k, s in enumerate(sets):
-        measures += [F.countDistinct(F.struct(*[f"`{c}`" for c in s])).alias(f"d{k}"), F.count_if(_empty(df, s)).alias(f"e{k}")]
-    rows = F.array(
-        *[
-            F.struct(F.lit(",".join(s)).alias("columns"), F.col("rows"), F.col(f"d{k}").alias("distinct_keys"), F.col(f"e{k}").alias("empty_keys"))
-            for k, s in enumerate(sets)
-        ]
-    )
-    return df.agg(*measures).select(F.explode(rows).alias("r")).select("r.*")
+    """(columns, rows, distinct_keys, empty_keys) of the given sets of columns, exactly and by a grouping for each."""
+
+    def check(names: list[str]) -> DataFrame:
+        groups = _groups(df, names)
+        return groups.agg(
+            F.lit(",".join(names)).alias("columns"),
+            _rows_where(F.lit(True)).alias("rows"),
+            F.count("*").alias("distinct_keys"),
+            _rows_where(_empty(groups, groups.columns[: len(names)])).alias("empty_keys"),
+        )
+
+    return reduce(DataFrame.unionByName, [check(s) for s in sets])
 
 
 def key_candidates(df: DataFrame, pairs_of: int = 12, rsd: float = 0.02) -> DataFrame:

@@ -189,3 +189,15 @@ def test_profiles(spark):
     assert profile.content_hash(wide).first() == profile.content_hash(wide.orderBy(F.desc("late"))).first() != profile.content_hash(wide.limit(49)).first()
     got = {r.column_name: r for r in profile.columns(df).collect()}
     assert got["b"].nulls == 1 and got["a"].distinct_values == 3
+
+
+def test_exact_counts_copy_no_rows(spark):
+    df = spark.createDataFrame([(0.0, "", None), (-0.0, "a", None), (None, "a", None), (0.0, " ", None)], "x double, `y.z` string, n string")
+    found, keys = profile.columns(df, exact=True), profile.key_check(df, [["y.z"], ["x", "y.z"]])
+    for q in (found, keys):  # several distinct counts in one aggregate would group a copy of the rows for each
+        assert "Expand" not in q._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("x", 1, 0, 1, 3, 4), ("y.z", 0, 1, 3, 0, 1), ("n", 4, 0, 0, None, None)]
+    assert [tuple(r) for r in keys.collect()] == [("y.z", 4, 3, 2), ("x,y.z", 4, 4, 3)]
+    for exact in (True, False):
+        assert {tuple(r)[1:] for r in profile.columns(df.limit(0), exact=exact).collect()} == {(0, 0, 0, None, None)}
+    assert tuple(profile.key_check(df.limit(0), [["x"]]).first()) == ("x", 0, 0, 0)
